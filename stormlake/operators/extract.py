@@ -78,9 +78,9 @@ def _last(properties: Column, kind: str) -> Column:
     return F.try_element_at(F.filter(properties, lambda p: p["Type"] == kind), F.lit(-1))
 
 
-def _text_at(nodes: Column, position: int) -> Column:
-    """Text of the node at a 0-based position; null when there are fewer."""
-    return F.get(nodes, F.lit(position))["_VALUE"]
+def _text_at(texts: Column, position: int) -> Column:
+    """Text at a 0-based position; null when there are fewer or it is empty."""
+    return blank_to_null(F.get(texts, F.lit(position)))
 
 
 def coordinate(text: Column, part: int) -> Column:
@@ -165,10 +165,10 @@ def observation_rows(bulletins: DataFrame) -> DataFrame:
         "TyphoonName": blank_to_null(F.col("name")),
         "CenterLat": coordinate(place, 1),
         "CenterLon": coordinate(place, 2),
-        "CenterLocation": F.col("centre.Location"),
-        "CenterMovementDirection": F.col("centre.`jmx_eb:Direction`._VALUE"),
+        "CenterLocation": blank_to_null(F.col("centre.Location")),
+        "CenterMovementDirection": blank_to_null(F.col("centre.`jmx_eb:Direction`")),
         "CenterSpeed": _text_at(F.col("centre.`jmx_eb:Speed`"), 1),
-        "CentralPressure": F.col("centre.`jmx_eb:Pressure`._VALUE"),
+        "CentralPressure": blank_to_null(F.col("centre.`jmx_eb:Pressure`")),
         "MaxWindspeedNearCenter": _text_at(speeds, 1),
         "MaxGustSpeed": _text_at(speeds, 3),
     }

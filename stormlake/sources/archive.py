@@ -16,14 +16,15 @@ def archive_rows(landed: DataFrame) -> DataFrame:
 
     A bulletin is filed once per year its observed sections fall in.
     """
-    good, _ = split_quarantine(parse_bulletins(landed, keep=("body",)))
+    payloads = landed.select("link", F.col("body").alias("payload"))
+    good, _ = split_quarantine(parse_bulletins(payloads, "payload", keep=("payload",)))
     sections = F.col("Body.MeteorologicalInfos.MeteorologicalInfo")
     observed = F.filter(sections, lambda s: s["DateTime"]["_type"] == OBSERVED)
     years = F.array_distinct(F.transform(observed, lambda s: event_year(s["DateTime"]["_VALUE"])))
     return good.select(
         "file_name",
         "link",
-        "body",
+        F.col("payload").alias("body"),
         F.explode(years).alias("event_year"),
         blank_to_null(F.col("Head.EventID")).alias("EventID"),
     )

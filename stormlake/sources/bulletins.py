@@ -25,17 +25,25 @@ def _with_origin(df: DataFrame) -> DataFrame:
     )
 
 
-def read_bulletins(spark: SparkSession, path: str) -> DataFrame:
-    """One row per ``Report`` in the files below ``path``; a file may hold many."""
-    reader = spark.read.format("xml").options(**XML_OPTIONS).schema(BULLETIN)
-    return _with_origin(reader.load(path))
+def _configured(reader, per_line: bool):
+    lines = reader.format("xml").options(**XML_OPTIONS).option("multiLine", not per_line)
+    return lines.schema(BULLETIN)
+
+
+def read_bulletins(spark: SparkSession, path: str, per_line: bool = False) -> DataFrame:
+    """One row per ``Report`` in the XML files below ``path``.
+
+    A file is one XML document. With ``per_line`` every line of a file is a bulletin of
+    its own: such packed files are split between tasks, and a broken line spoils no other.
+    """
+    return _with_origin(_configured(spark.read, per_line).load(path))
 
 
 def stream_bulletins(
-    spark: SparkSession, path: str, files_per_trigger: int | None = None
+    spark: SparkSession, path: str, per_line: bool = False, files_per_trigger: int | None = None
 ) -> DataFrame:
     """Newly landed bulletins as a stream, in the same shape as :func:`read_bulletins`."""
-    reader = spark.readStream.format("xml").options(**XML_OPTIONS).schema(BULLETIN)
+    reader = _configured(spark.readStream, per_line)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     return _with_origin(reader.load(path))
