@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import ANSWER_PROMPT
+from ..session import stage
 from .documents import fill
 
 MAX_CHARS = 4_000_000
@@ -23,19 +24,23 @@ def _instant():
     return F.coalesce(F.rpad(F.col("obs_jst").cast("string"), 26, " "), F.lit(_NO_TIME))
 
 
-def _parts(hits: DataFrame, max_chars: int) -> DataFrame:
-    """``question_id, instant, part_stem, digits`` of questions that do not fit one row.
+def _sizes(hits: DataFrame) -> DataFrame:
+    return hits.select(
+        "question_id", _instant().alias("instant"), (F.col("text_chars") + 1).alias("chars")
+    )
 
-    Sizes are summed before the shuffle and only for narrow columns: first per question,
-    then, for the oversize ones, per instant and day.
-    """
-    narrow = hits.select("question_id", _instant().alias("instant"), F.col("text_chars") + 1)
-    narrow = narrow.toDF("question_id", "instant", "chars")
-    totals = narrow.groupBy("question_id").agg(F.sum("chars").alias("total"))
-    oversize = totals.where(F.col("total") > max_chars).select("question_id")
 
+def _oversize(hits: DataFrame, max_chars: int) -> DataFrame:
+    """Questions whose texts do not fit one row; sizes are summed before the shuffle."""
+    totals = _sizes(hits).groupBy("question_id").agg(F.sum("chars").alias("total"))
+    return totals.where(F.col("total") > max_chars).select("question_id")
+
+
+def _parts(hits: DataFrame, oversize: DataFrame, max_chars: int) -> DataFrame:
+    """``question_id, instant, part_stem, digits`` of the oversize questions."""
     instants = (
-        narrow.join(oversize, "question_id", "left_semi")
+        _sizes(hits)
+        .join(oversize, "question_id", "left_semi")
         .groupBy("question_id", "instant")
         .agg(F.sum("chars").alias("chars"))
         .withColumn("day", F.substring("instant", 1, 10))
@@ -59,22 +64,25 @@ def assemble_context(hits: DataFrame, max_chars: int = MAX_CHARS) -> DataFrame:
     """``question_id, part, context``: texts in time order, then id, joined by a space.
 
     ``hits`` holds ``question_id, place, obs_jst, id_, Text, text_chars``; ``place`` goes
-    before time where hits have a rank of their own.
+    before time where hits have a rank of their own. Sizes are checked first, from the
+    narrow columns; the plan that cuts contexts into parts is only built when needed.
     """
-    parts = _parts(hits, max_chars)
-    placed = hits.select(
-        "question_id", "place", _instant().alias("instant"), "id_", "Text"
-    ).join(parts, ["question_id", "instant"], "left")
-    slice_id = F.expr("substring(id_, 1, digits)")
-    part = F.concat(F.col("part_stem"), F.lit(" "), slice_id)
+    placed = hits.select("question_id", "place", _instant().alias("instant"), "id_", "Text")
+    oversize = stage(_oversize(hits, max_chars), "oversize")
+    if oversize.isEmpty():
+        placed = placed.withColumn("part", F.lit(""))
+    else:
+        parts = _parts(hits, oversize, max_chars)
+        part = F.concat(F.col("part_stem"), F.lit(" "), F.expr("substring(id_, 1, digits)"))
+        placed = placed.join(parts, ["question_id", "instant"], "left").withColumn(
+            "part", F.trim(F.coalesce(part, F.lit("")))
+        )
     entry = F.struct("place", "instant", "id_", "Text")
-    grouped = placed.groupBy(
-        "question_id", F.trim(F.coalesce(part, F.lit(""))).alias("part")
-    ).agg(F.array_sort(F.collect_list(entry)).alias("entries"))
+    grouped = placed.groupBy("question_id", "part").agg(
+        F.array_sort(F.collect_list(entry)).alias("entries")
+    )
     return grouped.select(
-        "question_id",
-        "part",
-        F.array_join(F.col("entries.Text"), " ").alias("context"),
+        "question_id", "part", F.array_join(F.col("entries.Text"), " ").alias("context")
     )
 
 

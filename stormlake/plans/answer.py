@@ -27,7 +27,8 @@ def fallback_hits(
     texts = failed.select(F.sha2("question", 256).alias("_text_id"), "question", "question_id")
     distinct = texts.select("_text_id", "question").dropDuplicates(["_text_id"])
     vectors = embed(distinct, "_text_id", "question", DIMENSIONS)
-    found = top_k(vectors, index, k, "_text_id", "unique_event_id")
+    # k rows per distinct text, searched once whatever reads the hits
+    found = stage(top_k(vectors, index, k, "_text_id", "unique_event_id"), "similar")
     placed = texts.join(found, "_text_id").select(
         "question_id", "unique_event_id", F.col("rank").alias("place")
     )
