@@ -33,4 +33,5 @@ def apply_changes(old: DataFrame, feed: DataFrame, key: str) -> DataFrame:
     """The new snapshot from the old one and its change feed."""
     gone = feed.where(F.col("_change_type") != "insert").select(key).distinct()
     fresh = feed.where(F.col("_change_type").isin("insert", "update_postimage"))
-    return old.join(gone, key, "left_anti").unionByName(fresh.drop("_change_type"))
+    kept = old.join(gone, key, "left_anti").select(*old.columns)
+    return kept.unionByName(fresh.drop("_change_type"))

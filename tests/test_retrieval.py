@@ -1,0 +1,261 @@
+import random
+from datetime import datetime, timedelta
+
+import pytest
+from pyspark.sql import functions as F
+
+from stormlake.operators.context import answer_prompts, assemble_context
+from stormlake.operators.questions import (
+    gate,
+    parse_questions,
+    resolve_questions,
+)
+from stormlake.operators.retrieve import match_names, match_questions, retrieve
+from stormlake.plans.answer import answer_batch, structured_hits
+from stormlake.operators.index import sync_index
+
+STORMS = ["KONG-REY", "SHANSHAN", "TRAMI", "HI-NN-AM", None]
+
+
+@pytest.fixture(scope="module")
+def documents(spark):
+    """Every storm every six hours of a month around New Year, some times unreadable."""
+    rng = random.Random(7)
+    rows = []
+    for storm in STORMS:
+        for n in range(120):
+            at = datetime(2023, 12, 15) + timedelta(hours=6 * n)
+            readable = rng.random() > 0.05
+            key = f"{storm}-{n}"
+            rows.append(
+                (f"{rng.getrandbits(256):064x}", storm, at if readable else None, f"text {key}",
+                 key, f"{(at - timedelta(hours=9)).year:04d}")
+            )
+    df = spark.createDataFrame(
+        rows,
+        "id_ string, TyphoonName string, obs_jst timestamp_ntz, Text string, "
+        "unique_event_id string, event_year string",
+    )
+    return df.withColumns(
+        {
+            "ObservationDate": F.col("obs_jst").cast("date").cast("string"),
+            "ObservationTime": F.substring(F.col("obs_jst").cast("string"), 12, 8),
+            "ObservationDateTime": F.col("obs_jst").cast("string"),
+            "text_chars": F.char_length("Text"),
+        }
+    ).cache()
+
+
+def expected(rows, wanted, lo, hi):
+    """Brute force over all documents."""
+    n = wanted.upper().replace("TYPHOON", "").strip()
+    found = set()
+    for r in rows:
+        if r.TyphoonName is None:
+            continue
+        bare = r.TyphoonName.replace("-", "")
+        if not (n in r.TyphoonName or n in bare or n.replace(" ", "") in bare):
+            continue
+        if lo and (r.obs_jst is None or r.obs_jst < lo):
+            continue
+        if hi and (r.obs_jst is None or r.obs_jst > hi):
+            continue
+        found.add(r.Text)
+    return found
+
+
+D = datetime
+CASES = [
+    # parsed, mode, start, end, lo, hi
+    ("Kong Rey, 2023-12-20, 2023-12-22", "range", D(2023, 12, 20), D(2023, 12, 22)),
+    ("typhoon shanshan, 2023-12-31T18:00:00, 2024-01-01T06:00:00", "range", D(2023, 12, 31, 18), D(2024, 1, 1, 6)),
+    ("Trami, 2023-12-16, 2024-06-01", "range", D(2023, 12, 16), D(2024, 6, 1)),
+    ("Trami, 2024-01-05, 2024-01-01", "range", D(2024, 1, 5), D(2024, 1, 1)),
+    ("KONGREY, 2024-01-01", "day", D(2024, 1, 1), D(2024, 1, 1, 23, 59, 59, 999999)),
+    ("KONGREY, 2024-01-01T00:00:00, None", "day", D(2024, 1, 1), D(2024, 1, 1, 23, 59, 59, 999999)),
+    ("hi nn am, 2024-01-03T12:00:00, ''", "instant", D(2024, 1, 3, 12), D(2024, 1, 3, 12)),
+    ("Shanshan, None, 2023-12-20", "upto", None, D(2023, 12, 20)),
+    ("Shanshan, , 2023-12-20T06:00:00", "upto", None, D(2023, 12, 20, 6)),
+    ("HAN, None", "name", None, None),
+    ("Typhoon, 2024-01-02", "day", D(2024, 1, 2), D(2024, 1, 2, 23, 59, 59, 999999)),
+    ("Typhoon, None", "name", None, None),
+    ("None, 2024-01-02", "day", D(2024, 1, 2), D(2024, 1, 2, 23, 59, 59, 999999)),
+    ("Trami, 2024-02-30, 2024-01-02", "upto", None, D(2024, 1, 2)),
+    ("KONG_REY, None", "name", None, None),
+]
+
+
+def asked(spark, parsed):
+    return spark.createDataFrame(
+        [(n, f"question {n}", p) for n, p in enumerate(parsed)],
+        "question_id long, question string, parsed string",
+    )
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/Sao_Paulo"])
+def test_batch_equals_brute_force_in_any_zone(spark, documents, zone):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    rows = documents.collect()
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        bounded, failed = resolve_questions(asked(spark, [c[0] for c in CASES]))
+        modes = {r.question_id: r.mode for r in bounded.collect()}
+        hits = match_questions(bounded, documents).select("question_id", "Text").collect()
+        assert failed.count() == 0
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    for n, (parsed, mode, lo, hi) in enumerate(CASES):
+        assert modes[n] == mode, parsed
+        found = [h.Text for h in hits if h.question_id == n]
+        assert len(found) == len(set(found)), parsed
+        assert set(found) == expected(rows, parsed.split(", ")[0], lo, hi), parsed
+
+
+@pytest.mark.parametrize(
+    "name, start, end",
+    [
+        ("Kong Rey", D(2023, 12, 20), D(2024, 1, 2)), ("trami", D(2024, 1, 1), None),
+        ("trami", D(2024, 1, 1, 6), None), ("SHAN", None, D(2024, 1, 1)), ("", None, None),
+        ("Typhoon", D(2024, 1, 1, 6), D(9999, 12, 31)),
+    ],
+)
+def test_single_question_equals_brute_force(documents, name, start, end):
+    lo, hi = start, end
+    if start and not end:
+        hi = start + timedelta(days=1, microseconds=-1) if start.hour == 0 else start
+    found = {r.Text for r in retrieve(documents, name, start, end).collect()}
+    assert found == expected(documents.collect(), name, lo, hi)
+
+
+def test_match_names_equals_all_pairs(spark):
+    storms = ["KONG-REY", "SHANSHAN", "AB", "A", "HI-NN-AM", "A-B-C", "Ä台-風X", ""]
+    wanted = ["", "A", "AB", "B C", "ABC", "REY", "KONG REY", "G-R", "GREY", "台風", "風X", "NOPE", "H I N", "SHANSHANX"]
+    found = match_names(
+        spark.createDataFrame([(w,) for w in wanted], "name string"),
+        spark.createDataFrame([(s,) for s in storms], "TyphoonName string"),
+    )
+    pairs = {
+        (w, s) for w in wanted for s in storms
+        if w in s or w in s.replace("-", "") or w.replace(" ", "") in s.replace("-", "")
+    }
+    assert sorted(map(tuple, found.collect())) == sorted(pairs)
+
+
+@pytest.mark.parametrize(
+    "parsed, ok",
+    [
+        ("Shanshan, 2024-08-28T13:00:00, None", True), ("Shanshan, None, 2024-08-28", True),
+        ("Kong Rey, None, 2024-08-30T23:59:00", True), ("Shanshan, None", True), ("Shanshan, ", True),
+        ("Shanshan, , ''", True), ("None, None, None", True), ("台風１号, 2024-08-28", True), ("A_B, None", True),
+        ("Shanshan, 2024-08-27, 2024-08-28, 2024-08-29T20:00:00", False), ("Kong-Rey, None", False),
+        ("Shanshan", False), ("tell me about storms", False), ("Shanshan,None", False),
+        ("Shanshan, 2024-8-28", False), (", None", False), ("Shanshan, None, 2024-08-28 ", False), (None, False),
+    ],
+)
+def test_gate(spark, parsed, ok):
+    frame = spark.createDataFrame([(parsed,)], "parsed string")
+    assert gate(frame).first().gate_ok is ok
+
+
+GOLDEN = [
+    ("what is the Shanshan position on 28 Oct 2024 1pm?", "Shanshan, 2024-10-28T13:00:00, None"),
+    (
+        "What is the trajectory of Typhoon Shanshan from 27 Aug 2024 to 28 Aug 2024 and then 29 Aug 2024 8pm?",
+        "Shanshan, 2024-08-27, 2024-08-28, 2024-08-29T20:00:00",
+    ),
+    ("What is the trajectory of Typhoon Shanshan up to 28 Aug 2024?", "Shanshan, None, 2024-08-28"),
+    ("What is the trajectory of Typhoon Shanshan up to end of 29 Aug 2024?", "Shanshan, None, 2024-08-29T23:59:00"),
+    ("What is the trajectory of Typhoon Kong Rey until end of 30 Aug 2024?", "Kong Rey, None, 2024-08-30T23:59:00"),
+    ("tell me about yourself", "None, None, None"),
+    ("what is the Shanshan position on 29 Aug 2024", "Shanshan, 2024-08-29, None"),
+    (
+        "What is the trajectory of Typhoon Shanshan from 27 Aug 2024 1pm to 29 Aug 2024 9pm?",
+        "Shanshan, 2024-08-27T13:00:00, 2024-08-29T21:00:00",
+    ),
+    (
+        "What is the trajectory of Kong Rey from 28 Oct 2024 6 am to 29 Oct 2024 10pm?",
+        "Kong Rey, 2024-10-28T06:00:00, 2024-10-29T22:00:00",
+    ),
+    ("What is shanshan?", "shanshan, None, None"),
+    ("what is Shanshan position at the end of 29 Aug 2024 at 11pm?", "Shanshan, 2024-08-29T23:00:00, None"),
+    ("Where is Shanshan on 29 Aug 2024 at 23:00:00?", "Shanshan, 2024-08-29T23:00:00, None"),
+    ("Where was KONG-REY on 1 September 2024, 12am?", "KONG REY, 2024-09-01T00:00:00, None"),
+    ("Where was Shanshan on 5 Sep 2024 12pm", "Shanshan, 2024-09-05T12:00:00, None"),
+    ("Did Trami bring 28 Aug 2024 12 storms?", "Trami, 2024-08-28, None"),
+    ("???", "None, None, None"),
+]
+
+
+def test_question_goldens(spark):
+    questions = spark.createDataFrame(
+        [(n, q) for n, (q, _) in enumerate(GOLDEN)], "question_id long, question string"
+    )
+    names = spark.createDataFrame([(s,) for s in STORMS if s], "TyphoonName string")
+    parsed = {r.question_id: r.parsed for r in parse_questions(questions, names).collect()}
+    for n, (question, expected_parse) in enumerate(GOLDEN):
+        assert parsed[n] == expected_parse, question
+
+
+def whole(parts):
+    return " ".join(r.context for r in sorted(parts, key=lambda r: r.part))
+
+
+@pytest.mark.parametrize("max_chars", [4_000_000, 2000, 70, 20, 5])
+def test_context_parts_join_to_the_whole(spark, documents, max_chars):
+    bounded, _ = resolve_questions(asked(spark, ["Typhoon, None", "Kong Rey, 2024-01-01", "NOPE, None"]))
+    hits = structured_hits(bounded, documents)
+    parts = assemble_context(hits, max_chars).collect()
+    rows = [r for r in documents.collect() if r.TyphoonName]
+    rows.sort(key=lambda r: (r.obs_jst or datetime.max, r.id_))
+    for question, kept in ((0, rows), (1, [r for r in rows if r.TyphoonName == "KONG-REY" and r.obs_jst and r.obs_jst.date() == D(2024, 1, 1).date()])):
+        mine = [p for p in parts if p.question_id == question]
+        assert whole(mine) == " ".join(r.Text for r in kept)
+        total = sum(len(r.Text) + 1 for r in kept)
+        assert (len(mine) == 1 and mine[0].part == "") == (total <= max_chars)
+        longest = max(len(r.Text) for r in kept)
+        # slices of one instant are even on average only, which shows at toy sizes
+        slack = 1 if max_chars >= 70 else 3
+        assert all(len(p.context) <= slack * max(max_chars, longest) for p in mine)
+    assert not [p for p in parts if p.question_id == 2]
+
+
+def test_one_instant_holding_everything_is_cut_into_slices(spark):
+    """A single storm and time with very many documents."""
+    hits = spark.range(3000).select(
+        F.lit(1).alias("question_id"), F.lit(0).alias("place"),
+        F.lit("2024-01-01").cast("timestamp_ntz").alias("obs_jst"),
+        F.sha2(F.col("id").cast("string"), 256).alias("id_"),
+        F.concat(F.lit("t"), F.col("id").cast("string")).alias("Text"), F.lit(9).alias("text_chars"),
+    )
+    parts = assemble_context(hits, 1000).collect()
+    assert len(parts) > 30 and max(len(p.context) for p in parts) <= 1000
+    ordered = " ".join(r.Text for r in hits.orderBy("id_").collect())
+    assert whole(parts) == ordered
+
+
+def test_prompts(spark):
+    questions = asked(spark, ["a", "b"])
+    contexts = spark.createDataFrame([(0, "", "CONTEXT")], "question_id long, part string, context string")
+    prompts = {r.question_id: r.prompt for r in answer_prompts(questions, contexts).collect()}
+    assert "Based on the context CONTEXT, answer the question 0.\n" in prompts[0]
+    assert "Based on the context , answer the question 1.\n" in prompts[1]
+
+
+def test_answer_batch_mixes_windows_and_similarity(spark, documents):
+    questions = spark.createDataFrame(
+        [
+            (0, "Where is Kong Rey on 1 Jan 2024?"),
+            (1, "What about Trami from 1 Jan 2024 to 2 Jan 2024 and then 3 Jan 2024?"),
+            (2, "tell me about yourself"),
+        ],
+        "question_id long, question string",
+    )
+    index = sync_index(None, documents.where("TyphoonName is not null"), "unique_event_id", "Text")
+    answers = {r.question_id: r for r in answer_batch(questions, documents, index).collect()}
+    assert {n: a.mode for n, a in answers.items()} == {0: "day", 1: "similar", 2: "name"}
+    assert answers[0].context == " ".join(
+        r.Text
+        for r in documents.where("TyphoonName = 'KONG-REY' and cast(obs_jst as date) = '2024-01-01'").orderBy("obs_jst", "id_").collect()
+    )
+    assert answers[1].context.count("text ") == 3 and "TRAMI" in answers[1].context
+    assert answers[2].context == ""
