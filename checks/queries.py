@@ -32,7 +32,7 @@ from stormlake.operators.similarity import approximate_top_k, bucket_index, sear
 from stormlake.operators.upsert import upsert
 from stormlake.plans.answer import answer_batch, fallback_hits, structured_hits
 from stormlake.plans.ingest import documents, documents_from_payloads, observations
-from stormlake.session import stage, work_path
+from stormlake.session import spread, stage, work_path
 from stormlake.sources.archive import read_archive, write_archive
 from stormlake.sources.bulletins import parse_bulletins, read_bulletins, split_quarantine
 from stormlake.sources.feed import read_feed, storm_entries
@@ -99,6 +99,11 @@ def _questions(documents: DataFrame) -> DataFrame:
     return stage(fx.questions(documents), "questions")
 
 
+def _index(documents: DataFrame) -> DataFrame:
+    texts = spread(documents.select("unique_event_id", "Text"))
+    return stage(sync_index(None, texts, "unique_event_id", "Text"), "index")
+
+
 def _centroids(vectors: DataFrame) -> DataFrame:
     """The mean vector of every label, as search queries."""
     parts = vectors.select("label", F.posexplode("embedding").alias("dim", "x"))
@@ -498,7 +503,7 @@ def retrieve_batch_(spark, sf):
 def retrieve_fallback(spark, sf):
     docs = _document_table(spark, sf)
     _, failed = resolve_questions(_questions(docs))
-    index = stage(sync_index(None, docs, "unique_event_id", "Text"), "index")
+    index = _index(docs)
     hits = fallback_hits(failed, docs, index)
     return hits.select("question_id", "place", "unique_event_id", F.md5("Text").alias("text_md5"))
 
@@ -528,7 +533,7 @@ def answer_prompt(spark, sf):
 def answer_batch_(spark, sf):
     docs = _document_table(spark, sf)
     asked = _questions(docs).select("question_id", "question")
-    index = stage(sync_index(None, docs, "unique_event_id", "Text"), "index")
+    index = _index(docs)
     answers = answer_batch(asked, docs, index)
     return answers.select(
         "question_id", "mode", "part",

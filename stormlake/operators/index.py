@@ -39,6 +39,7 @@ def sync_index(
         match = [key, "text_hash"]
         kept = index.join(hashed.select(*match), match, "left_semi")
         stale = hashed.join(index.select(*match), match, "left_anti")
-    fresh = embed(stale, key, text, dim).join(stale.select(key, "text_hash"), key)
-    fresh = fresh.select(key, "text_hash", "embedding")
+    # key and hash travel together, so the texts are read once
+    stale = stale.select(F.struct(key, "text_hash").alias("entry"), text)
+    fresh = embed(stale, "entry", text, dim).select("entry.*", "embedding")
     return fresh if kept is None else kept.select(*fresh.columns).unionByName(fresh)

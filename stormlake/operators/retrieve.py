@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import name_matches, normal_name, without_hyphen, without_spaces
+from ..session import stage
 from .questions import storm_names
 
 RESULT = ("ObservationDate", "ObservationTime", "ObservationDateTime", "Text", "TyphoonName")
@@ -106,11 +107,15 @@ def match_questions(bounded: DataFrame, documents: DataFrame) -> DataFrame:
     the year prunes partitions at run time and no document is compared with questions
     about other days. An open or long window is met on the name, with the window as a
     filter of the join.
+
+    The resolved questions are written out first: their size is then known to the
+    planner, which broadcasts them only if they are small and else shuffles both sides.
     """
     asked = bounded.select("question_id", "name", "mode", "lo", "hi")
-    named = asked.join(match_names(asked, storm_names(documents)), "name").drop("name")
+    resolved = asked.join(match_names(asked, storm_names(documents)), "name").drop("name")
+    named = stage(resolved, "resolved")
     span = F.datediff(F.col("hi").cast("date"), F.col("lo").cast("date"))
-    short = F.coalesce(span.between(0, MAX_DAYS), F.lit(False))
+    short = span.between(0, MAX_DAYS)
     within = (F.col("lo").isNull() | (F.col("obs_jst") >= F.col("lo"))) & (
         F.col("hi").isNull() | (F.col("obs_jst") <= F.col("hi"))
     )
@@ -124,7 +129,7 @@ def match_questions(bounded: DataFrame, documents: DataFrame) -> DataFrame:
     dated = documents.withColumn("day", F.col("obs_jst").cast("date"))
     by_day = dated.join(keyed, ["TyphoonName", "event_year", "day"]).where(within).select(*columns)
 
-    by_name = documents.join(named.where(~short), "TyphoonName").where(within).select(*columns)
+    by_name = documents.join(named.where(~F.coalesce(short, F.lit(False))), "TyphoonName").where(within).select(*columns)
     return by_day.unionByName(by_name)
 
 

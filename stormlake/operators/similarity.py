@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.vectors import SCORE_DECIMALS, dot, plane_signs
+from ..session import stage
 
 SEARCH_K = 4
 RETRIEVER_K = 3
@@ -112,7 +113,8 @@ def top_k(
     are ranked. The number of blocks follows from the measured size of the queries, so a
     task never holds more than ``block_bytes`` of them.
     """
-    usable = queries.where(F.col(embedding).isNotNull())
+    asked = queries.where(F.col(embedding).isNotNull()).select(query_key, embedding)
+    usable = stage(asked, "queries")
     size = usable.agg(F.count("*").alias("n"), F.max(F.size(embedding)).alias("dim")).first()
     dim = size["dim"] or 1
     blocks = max(1, math.ceil(size["n"] * dim * 8 / block_bytes))
@@ -187,7 +189,9 @@ def approximate_top_k(
         F.col(embedding).alias("_wanted"),
         buckets(F.col(embedding), dim, tables, planes).alias("_buckets"),
     )
-    probes = asked.select("*", F.posexplode("_buckets").alias("hash_table", "bucket"))
+    # written out so that the planner knows their size: small probes are broadcast and
+    # prune the index's partitions, the index itself is not shuffled
+    probes = stage(asked.select("*", F.posexplode("_buckets").alias("hash_table", "bucket")), "probes")
     met = index.join(probes, ["hash_table", "bucket"])
     shared = F.zip_with("buckets", "_buckets", lambda a, b: a == b)
     first = F.array_position(shared, True) == F.col("hash_table") + 1

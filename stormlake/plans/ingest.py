@@ -7,6 +7,7 @@ from ..operators.documents import document_rows
 from ..operators.extract import observation_rows
 from ..operators.upsert import upsert
 from ..sources.bulletins import parse_bulletins, split_quarantine
+from ..sources.feed import storm_entries
 
 
 def observations(parsed: DataFrame) -> DataFrame:
@@ -24,6 +25,12 @@ def documents_from_payloads(landed: DataFrame) -> DataFrame:
     return documents(parse_bulletins(landed))
 
 
+def announced(feed: DataFrame, landed: DataFrame) -> DataFrame:
+    """The ``(link, body)`` rows that the feed announces as storm bulletins."""
+    links = storm_entries(feed).select("link").distinct()
+    return landed.join(links, "link", "left_semi")
+
+
 def ingest(spark: SparkSession, parsed: DataFrame, path: str, newest: str | None = None) -> None:
     """Upsert the documents of parsed bulletins into the table at ``path``."""
     upsert(spark, documents(parsed), path, newest)

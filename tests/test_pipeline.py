@@ -5,7 +5,7 @@ import pytest
 from bulletin_text import bulletin, centre, name, section
 from stormlake.operators.changes import apply_changes, change_feed
 from stormlake.operators.upsert import upsert
-from stormlake.plans.ingest import documents, documents_from_payloads
+from stormlake.plans.ingest import announced, documents, documents_from_payloads
 from stormlake.sources.archive import read_archive, write_archive
 from stormlake.sources.bulletins import read_bulletins, split_quarantine
 from stormlake.sources.feed import read_feed, storm_entries
@@ -147,6 +147,19 @@ def test_feed(spark, tmp_path):
     ]
 
 
+def test_live_mode_takes_what_the_feed_announces(spark, tmp_path):
+    title = "台風解析・予報情報（５日予報）"
+    (tmp_path / "feed.xml").write_text(
+        f'<feed><entry><title>{title}</title><link href="http://x/data/f1.xml"/></entry>'
+        f'<entry><title>{title}</title><link href="http://x/data/f1.xml"/></entry>'
+        '<entry><title>other</title><link href="http://x/data/f0.xml"/></entry></feed>',
+        encoding="utf-8",
+    )
+    feed = read_feed(spark, str(tmp_path / "feed.xml"))
+    docs = documents_from_payloads(announced(feed, landed(spark, made("A"), made("B", hour=14))))
+    assert [r.TyphoonName for r in docs.collect()] == ["B"]
+
+
 def test_centre_only_bulletin_goes_through(spark, tmp_path):
     path = str(tmp_path / "t")
     body = bulletin(section("2024-08-28T13:00:00+09:00", centre()))

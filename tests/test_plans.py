@@ -53,7 +53,13 @@ def test_single_question_prunes_partitions_rows_and_columns(table):
 def test_batch_has_no_cross_join_and_reads_the_years_asked_for(spark, table):
     questions = spark.createDataFrame([(1, "q", "Trami, 2024-01-05")], "question_id long, question string, parsed string")
     bounded, _ = resolve_questions(questions)
-    text = plan(match_questions(bounded, table))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    # as if the table were too large to broadcast
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20000")
+    try:
+        text = plan(match_questions(bounded, table))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
     assert "NestedLoop" not in text and "Cartesian" not in text
     assert "dynamicpruning" in text
 
