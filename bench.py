@@ -34,6 +34,8 @@ def main() -> None:
         spark__master=f"local[{cpus}]",
         spark__driver__memory="16g",
         spark__sql__shuffle__partitions=cpus,
+        # a few megabytes per table: spread them over the cores
+        spark__sql__adaptive__advisoryPartitionSizeInBytes="4m",
         spark__ui__enabled="false",
     )
     spark.sparkContext.setLogLevel("ERROR")
