@@ -30,7 +30,7 @@ raw AS (
     CAST(NULL AS VARCHAR) AS "Bofuuiki_Direction2", CAST(NULL AS VARCHAR) AS "Bofuuiki_Radius2",
     '南東' AS "Kyofuuiki_Direction1", CAST(event_id % 400 AS VARCHAR) AS "Kyofuuiki_Radius1",
     '北西' AS "Kyofuuiki_Direction2", CAST(event_id % 300 AS VARCHAR) AS "Kyofuuiki_Radius2",
-    'https://example.org/bulletins/' || CAST(event_id AS VARCHAR) || '_0_VPTW60.xml' AS "URL",
+    'https://example.org/bulletins/' || CAST(event_id AS VARCHAR) || '_0_storm.xml' AS "URL",
     date_trunc('hour', ts) AS obs_jst
   FROM events WHERE event_id % 97 <> 0)"""
 
@@ -239,7 +239,7 @@ def all_oracles() -> dict[str, str]:
     header = '"EventID", "InfoType", "Serial", "InfoKindVersion"'
     numbers = ", ".join(f'CAST("{f}" AS DOUBLE) AS "{f}"' for f in _NUMBERS)
     areas = ", ".join(f'"{f}"' for f in _FIELDS if f.startswith(("Bofuuiki", "Kyofuuiki")))
-    file_name = "CAST(event_id AS VARCHAR) || '_0_VPTW60.xml'"
+    file_name = "CAST(event_id AS VARCHAR) || '_0_storm.xml'"
     link = f"'https://example.org/bulletins/' || {file_name}"
     upserted = (
         # corrections replace announcements of the same key, whatever the serial

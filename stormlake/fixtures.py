@@ -141,7 +141,7 @@ def bulletins(events: DataFrame) -> DataFrame:
         "</Item></MeteorologicalInfo></MeteorologicalInfos></Body></Report>",
     )
     return rows.select(
-        _text("https://example.org/bulletins/", e.cast("string"), "_0_VPTW60.xml").alias("link"),
+        _text("https://example.org/bulletins/", e.cast("string"), "_0_storm.xml").alias("link"),
         F.when(e % 97 == 0, F.lit("<Report><Head>")).otherwise(report).alias("body"),
     )
 
