@@ -50,6 +50,27 @@ def test_upsert_replaces_inserts_and_keeps(spark, tmp_path):
     assert content(read_documents(spark, path)) == once
 
 
+def test_upsert_of_new_keys_only_appends(spark, tmp_path):
+    path = str(tmp_path / "t")
+    upsert(spark, documents_from_payloads(landed(spark, made("A"))), path)
+    before = {p.name for p in Path(path).rglob("*.parquet")}
+    upsert(spark, documents_from_payloads(landed(spark, made("B", hour=14), made("Y", year=2022))), path)
+    assert before < {p.name for p in Path(path).rglob("*.parquet")}
+    assert sorted(n for n, _ in names(spark, path).values()) == ["A", "B", "Y"]
+
+
+def test_upsert_can_be_repeated_after_a_partial_write(spark, tmp_path):
+    """As if a run had ended between the rewrite and the append, or in the append."""
+    path = str(tmp_path / "t")
+    upsert(spark, documents_from_payloads(landed(spark, made("A"))), path)
+    source = [made("C"), made("B", hour=14), made("D", hour=15)]
+    upsert(spark, documents_from_payloads(landed(spark, *source[:2])), path)
+    upsert(spark, documents_from_payloads(landed(spark, *source)), path)
+    assert content(read_documents(spark, path)) == content(
+        documents_from_payloads(landed(spark, *source)).select(*read_documents(spark, path).columns)
+    )
+
+
 def test_upsert_with_versions_keeps_the_newer_row(spark, tmp_path):
     path = str(tmp_path / "t")
     for batch in ([made("A", "10")], [made("B", "9"), made("N", "1", hour=20)], [made("C", "11")], [made("D", "x")]):
