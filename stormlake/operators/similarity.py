@@ -26,17 +26,6 @@ def nearest(docs: DataFrame, vector: list[float], k: int, key: str, embedding: s
     return usable.withColumn("score", score).orderBy(F.desc("score"), key).limit(k)
 
 
-def _best(keys: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the k highest scores, ties by key."""
-    if len(scores) > k:
-        bar = np.partition(scores, len(scores) - k)[len(scores) - k]
-        found = np.flatnonzero(scores >= bar)
-    else:
-        found = np.arange(len(scores))
-    order = sorted(found.tolist(), key=lambda i: (-scores[i], keys[i]))
-    return np.array(order[:k], dtype=np.int64)
-
-
 def _rank(scored: DataFrame, query_key: str, key: str, k: int) -> DataFrame:
     order = Window.partitionBy(query_key).orderBy(F.desc("score"), F.asc(key))
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
@@ -51,7 +40,17 @@ def _block_top_k(
     matrix = np.array(block.column(1).to_pylist(), dtype=np.float64).reshape(-1, dim)
     shared = docs.sparkSession.sparkContext.broadcast((ids.to_pylist(), matrix))
     decimals = SCORE_DECIMALS
-    best = _best
+
+    # both are nested, so tasks receive their code and need not have the package installed
+    def best(keys, scores):
+        """Positions of the k highest scores, ties by key."""
+        if len(scores) > k:
+            bar = np.partition(scores, len(scores) - k)[len(scores) - k]
+            found = np.flatnonzero(scores >= bar)
+        else:
+            found = np.arange(len(scores))
+        order = sorted(found.tolist(), key=lambda i: (-scores[i], keys[i]))
+        return np.array(order[:k], dtype=np.int64)
 
     def search(batches):
         query_ids, wanted = shared.value
@@ -65,11 +64,11 @@ def _block_top_k(
             for first in range(0, len(query_ids), 256):
                 scores = np.round(wanted[first : first + 256] @ vectors.T, decimals)
                 for row, line in enumerate(scores, first):
-                    top = best(keys, line, k)
+                    top = best(keys, line)
                     old_keys, old_scores = held[row]
                     all_keys = np.array([*old_keys, *keys[top]], dtype=object)
                     all_scores = np.array([*old_scores, *line[top]])
-                    top = best(all_keys, all_scores, k)
+                    top = best(all_keys, all_scores)
                     held[row] = (list(all_keys[top]), list(all_scores[top]))
         rows = [
             (query_id, found, score)
