@@ -5,4 +5,48 @@ def llm_oracles() -> dict[str, str]:
     return dict(_SQL)
 
 
-_SQL: dict[str, str] = {}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+_SQL: dict[str, str] = {
+    "op2_decontamination": rf"""
+        WITH d AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+            FROM documents),
+        b AS (
+            SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+            FROM benchmark),
+        sized AS (SELECT item_id, w, least(10, len(w)) AS n FROM b WHERE len(w) > 0),
+        wanted AS (
+            SELECT DISTINCT item_id, n, array_to_string(w[s:s + n - 1], ' ') AS words
+            FROM (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM sized)),
+        sizes AS (SELECT DISTINCT n FROM wanted),
+        places AS (
+            SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM d, sizes WHERE len(w) >= n),
+        hits AS (
+            SELECT p.doc_id, p.s, p.n, t.item_id
+            FROM (SELECT doc_id, n, s, array_to_string(w[s:s + n - 1], ' ') AS words FROM places) p
+            JOIN wanted t USING (n, words)),
+        hit_words AS (
+            SELECT doc_id, count(DISTINCT pos) AS n_hit
+            FROM (SELECT doc_id, unnest(range(s, s + n)) AS pos FROM (SELECT DISTINCT doc_id, s, n FROM hits)) GROUP BY doc_id),
+        hit_items AS (
+            SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names
+            FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits WHERE item_id IS NOT NULL) GROUP BY doc_id)
+        SELECT d.doc_id, len(d.w) AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesce(i.n_items, 0) AS n_items,
+               sha256(coalesce(i.names, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN hit_words h USING (doc_id) LEFT JOIN hit_items i USING (doc_id)""",
+    "op10_substring_dedup": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        places AS (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS s FROM d WHERE len(w) >= 13),
+        windows AS (SELECT doc_id, s, array_to_string(w[s:s + 12], ' ') AS words FROM places),
+        earliest AS (SELECT words, min(doc_id) AS first_id FROM windows GROUP BY words),
+        gone AS (
+            SELECT DISTINCT doc_id, unnest(range(s, s + 13)) AS pos
+            FROM windows JOIN earliest USING (words) WHERE first_id < doc_id),
+        all_words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM d),
+        kept AS (
+            SELECT a.doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY pos) AS kept_text
+            FROM all_words a ANTI JOIN gone g ON a.doc_id = g.doc_id AND a.pos = g.pos GROUP BY a.doc_id)
+        SELECT d.doc_id, len(d.w) AS n_words, len(d.w) - coalesce(k.n, 0) AS n_removed, sha256(coalesce(k.kept_text, '')) AS kept_sha256
+        FROM d LEFT JOIN kept k USING (doc_id)""",
+}
