@@ -35,6 +35,52 @@ _SQL: dict[str, str] = {
         SELECT d.doc_id, len(d.w) AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesce(i.n_items, 0) AS n_items,
                sha256(coalesce(i.names, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN hit_words h USING (doc_id) LEFT JOIN hit_items i USING (doc_id)""",
+    "op6_near_dedup": rf"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') AS w
+            FROM documents),
+        shingles AS (
+            SELECT DISTINCT doc_id, array_to_string(w[s:s + 1], ' ') AS shingle
+            FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w), 2))) AS s FROM d WHERE len(w) > 0)),
+        sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+        common AS (
+            SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n
+            FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+        links AS (
+            SELECT c.a, c.b FROM common c JOIN sizes x ON c.a = x.doc_id JOIN sizes y ON c.b = y.doc_id
+            WHERE 100 * c.n >= 80 * (x.n + y.n - c.n)),
+        both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+        reach(doc_id, other) AS (
+            SELECT doc_id, doc_id FROM d
+            UNION
+            SELECT r.doc_id, l.b FROM reach r JOIN both_ways l ON r.other = l.a)
+        SELECT d.doc_id, coalesce(any_value(s.n), 0) AS n_shingles, min(r.other) AS component_id, d.doc_id = min(r.other) AS kept
+        FROM d JOIN reach r USING (doc_id) LEFT JOIN sizes s USING (doc_id) GROUP BY d.doc_id""",
+    "op7_line_dedup": rf"""
+        WITH split_lines AS (
+            SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos
+            FROM documents),
+        lines AS (
+            SELECT doc_id, pos, line, regexp_extract_all(translate(line, '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM split_lines),
+        long_lines AS (SELECT doc_id, pos, w, array_to_string(w, ' ') AS words FROM lines WHERE len(w) >= 8 AND doc_id IS NOT NULL),
+        firsts AS (SELECT words, any_value(w) AS w, min((doc_id, pos)) AS place FROM long_lines GROUP BY words),
+        variants AS (
+            SELECT words, place, len(w) AS n, i, array_to_string(list_concat(w[:i - 1], w[i + 1:]), ' ') AS rest
+            FROM (SELECT words, w, place, unnest(range(1, len(w) + 1)) AS i FROM firsts)),
+        near AS (
+            SELECT a.words, b.place FROM variants a JOIN variants b ON a.rest = b.rest AND a.i = b.i WHERE b.place < a.place
+            UNION ALL SELECT a.words, b.place FROM firsts a JOIN variants b ON a.words = b.rest WHERE b.place < a.place
+            UNION ALL SELECT a.words, b.place FROM variants a JOIN firsts b ON a.rest = b.words WHERE b.place < a.place
+            UNION ALL SELECT words, place FROM firsts),
+        earliest AS (SELECT words, min(place) AS place FROM near GROUP BY words),
+        gone AS (SELECT l.doc_id, l.pos FROM long_lines l JOIN earliest e USING (words) WHERE e.place < (l.doc_id, l.pos)),
+        kept AS (
+            SELECT l.doc_id, count(*) AS n, string_agg(line, chr(10) ORDER BY l.pos) AS kept_text
+            FROM split_lines l ANTI JOIN gone g ON l.doc_id = g.doc_id AND l.pos = g.pos GROUP BY l.doc_id)
+        SELECT d.doc_id, CAST(coalesce(len(string_split(d.text, chr(10))), 0) AS INTEGER) AS n_lines,
+               CAST(coalesce(len(string_split(d.text, chr(10))), 0) - coalesce(k.n, 0) AS INTEGER) AS n_removed,
+               CASE WHEN d.text IS NOT NULL THEN coalesce(k.kept_text, '') END AS text
+        FROM documents d LEFT JOIN kept k USING (doc_id)""",
     "op10_substring_dedup": r"""
         WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
         places AS (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS s FROM d WHERE len(w) >= 13),

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from stormlake.llm.decontaminate import find_contamination
 from stormlake.llm.language import fit_language, identify
+from stormlake.llm.line_dedup import dedup_lines
+from stormlake.llm.near import near_duplicates
 from stormlake.llm.quality import fit_quality, rate_quality
 from stormlake.llm.substring import remove_repeats
 
@@ -41,6 +43,19 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", names.alias("items_sha256"), "contaminated")
 
 
+@query
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents that share four fifths of their word pairs."""
+    return near_duplicates(_table(spark, sf_dir, "documents"), n=2, percent=80)
+
+
+@query
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that an earlier line repeats, but for one word at most."""
+    found = dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_removed", "text")
+
+
 @query
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from four fifths of them."""

@@ -26,7 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stormlake.llm.words import Words, mixed, whole, window_hashes
+from stormlake.llm.packing import bits, dealt, from_bits, from_planes, planes, table_of
+from stormlake.llm.words import Words, whole, window_hashes
 
 WINDOW = 13
 #: text of one group of documents, the unit that a task holds in memory
@@ -34,24 +35,6 @@ GROUP_BYTES = 6 << 20
 _TAIL_BITS = 40
 
 
-def _planes(values: np.ndarray) -> bytes:
-    """Byte by byte, all first bytes first: equal high bytes then compress away."""
-    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
-
-
-def _from_planes(raw: bytes, kind) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).ravel()
-
-
-def _bits(flags: np.ndarray) -> bytes:
-    return np.packbits(flags).tobytes()
-
-
-def _from_bits(raw: bytes, n: int) -> np.ndarray:
-    return np.unpackbits(np.frombuffer(raw, np.uint8), count=n).astype(bool)
-
-
 class _Group:
     """The documents of one group that have a key, in the order of their keys."""
 
@@ -100,17 +83,6 @@ class _Group:
         return at, h[at], second
 
 
-def _dealt(hashes: np.ndarray, n_buckets: int) -> list[np.ndarray]:
-    """Positions of the sorted hashes that each bucket gets, in order."""
-    bucket = (mixed(hashes) % np.uint64(n_buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    return np.split(order, np.searchsorted(bucket[order], np.arange(1, n_buckets)))
-
-
-def _table(columns: dict[str, tuple[list, pa.DataType]]) -> pa.Table:
-    return pa.table({name: pa.array(values, type=kind) for name, (values, kind) in columns.items()})
-
-
 def _window_rows(group: _Group, active, at, back):
     """Distinct windows sorted by both hashes: hashes, smallest key, several keys, and every
     window's position and distinct number."""
@@ -130,9 +102,9 @@ def _window_rows(group: _Group, active, at, back):
 def _active(group: _Group, replies: pa.Table, n_buckets: int):
     distinct, _, _, at, back = group.anchors()
     active = np.zeros(len(distinct), dtype=bool)
-    dealt = _dealt(distinct, n_buckets) if replies.num_rows else []
-    for bucket, bits in zip(replies.column("bucket").to_pylist(), replies.column("bits").to_pylist()):
-        active[dealt[bucket]] = _from_bits(bits, len(dealt[bucket]))
+    parts = dealt(distinct, n_buckets) if replies.num_rows else []
+    for bucket, flags in zip(replies.column("bucket").to_pylist(), replies.column("bits").to_pylist()):
+        active[parts[bucket]] = from_bits(flags, len(parts[bucket]))
     return active, at, back
 
 
@@ -160,32 +132,32 @@ def remove_repeats(
         group = _Group(table, window)
         distinct, aligned, several, _, _ = group.anchors()
         out: dict[str, list] = {c: [] for c in ("bucket", "chunk", "low", "high", "aligned", "several")}
-        for bucket, own in enumerate(_dealt(distinct, n)):
+        for bucket, own in enumerate(dealt(distinct, n)):
             if len(own):
                 tails = distinct[own] >> np.uint64(64 - _TAIL_BITS)
                 out["bucket"].append(bucket)
                 out["chunk"].append(chunk[0].as_py())
-                out["low"].append(_planes(tails.astype(np.uint32)))
+                out["low"].append(planes(tails.astype(np.uint32)))
                 out["high"].append((tails >> np.uint64(32)).astype(np.uint8).tobytes())
-                out["aligned"].append(_bits(aligned[own]))
-                out["several"].append(_bits(several[own]))
+                out["aligned"].append(bits(aligned[own]))
+                out["several"].append(bits(several[own]))
         kinds = {"bucket": pa.int32(), "chunk": pa.int32()}
-        return _table({c: (v, kinds.get(c, pa.binary())) for c, v in out.items()})
+        return table_of({c: (v, kinds.get(c, pa.binary())) for c, v in out.items()})
 
     def meet_anchors(bucket, table):
         tails, aligned, several, sizes = [], [], [], []
         for low, high, a, s in zip(*(table.column(c).to_pylist() for c in ("low", "high", "aligned", "several"))):
             sizes.append(len(high))
-            tails.append(_from_planes(low, np.uint32).astype(np.uint64) | (np.frombuffer(high, np.uint8).astype(np.uint64) << np.uint64(32)))
-            aligned.append(_from_bits(a, len(high)))
-            several.append(_from_bits(s, len(high)))
+            tails.append(from_planes(low, np.uint32).astype(np.uint64) | (np.frombuffer(high, np.uint8).astype(np.uint64) << np.uint64(32)))
+            aligned.append(from_bits(a, len(high)))
+            several.append(from_bits(s, len(high)))
         distinct, back, count = np.unique(np.concatenate(tails), return_inverse=True, return_counts=True)
         has_block, shared = np.zeros(len(distinct), dtype=bool), count > 1
         has_block[back[np.concatenate(aligned)]] = True
         shared[back[np.concatenate(several)]] = True
         parts = np.split((has_block & shared)[back], np.cumsum(sizes)[:-1])
-        kept = [(c, _bits(p)) for c, p in zip(table.column("chunk").to_pylist(), parts) if p.any()]
-        return _table({
+        kept = [(c, bits(p)) for c, p in zip(table.column("chunk").to_pylist(), parts) if p.any()]
+        return table_of({
             "chunk": ([c for c, _ in kept], pa.int32()), "bucket": ([bucket[0].as_py()] * len(kept), pa.int32()),
             "bits": ([b for _, b in kept], pa.binary()),
         })
@@ -195,24 +167,24 @@ def remove_repeats(
         if table.num_rows and replies.num_rows:
             group = _Group(table, window)
             h, second, low, several, _, _ = _window_rows(group, *_active(group, replies, n))
-            for bucket, own in enumerate(_dealt(h, n)):
+            for bucket, own in enumerate(dealt(h, n)):
                 if len(own):
                     out["bucket"].append(bucket)
                     out["chunk"].append(chunk[0].as_py())
-                    out["hashes"].append(_planes(h[own]))
-                    out["seconds"].append(_planes(second[own]))
-                    out["lows"].append(_planes(low[own]))
-                    out["several"].append(_bits(several[own]))
+                    out["hashes"].append(planes(h[own]))
+                    out["seconds"].append(planes(second[own]))
+                    out["lows"].append(planes(low[own]))
+                    out["several"].append(bits(several[own]))
         kinds = {"bucket": pa.int32(), "chunk": pa.int32()}
-        return _table({c: (v, kinds.get(c, pa.binary())) for c, v in out.items()})
+        return table_of({c: (v, kinds.get(c, pa.binary())) for c, v in out.items()})
 
     def meet_windows(bucket, table):
         columns = {c: table.column(c).to_pylist() for c in ("hashes", "seconds", "lows", "several")}
         sizes = [len(x) // 8 for x in columns["hashes"]]
-        h = np.concatenate([_from_planes(x, np.uint64) for x in columns["hashes"]])
-        second = np.concatenate([_from_planes(x, np.uint16) for x in columns["seconds"]])
-        low = np.concatenate([_from_planes(x, np.int64) for x in columns["lows"]])
-        several = np.concatenate([_from_bits(x, k) for x, k in zip(columns["several"], sizes)])
+        h = np.concatenate([from_planes(x, np.uint64) for x in columns["hashes"]])
+        second = np.concatenate([from_planes(x, np.uint16) for x in columns["seconds"]])
+        low = np.concatenate([from_planes(x, np.int64) for x in columns["lows"]])
+        several = np.concatenate([from_bits(x, k) for x, k in zip(columns["several"], sizes)])
         order = np.lexsort((second, h))
         fresh = np.ones(len(order), dtype=bool)
         fresh[1:] = (h[order][1:] != h[order][:-1]) | (second[order][1:] != second[order][:-1])
@@ -224,8 +196,8 @@ def remove_repeats(
         shared |= np.maximum.reduceat(several[order], begins)
         flags = np.split(shared[number], np.cumsum(sizes)[:-1])
         lows = np.split(smallest[number], np.cumsum(sizes)[:-1])
-        kept = [(c, _bits(f), _planes(v[f])) for c, f, v in zip(table.column("chunk").to_pylist(), flags, lows) if f.any()]
-        return _table({
+        kept = [(c, bits(f), planes(v[f])) for c, f, v in zip(table.column("chunk").to_pylist(), flags, lows) if f.any()]
+        return table_of({
             "chunk": ([k[0] for k in kept], pa.int32()), "bucket": ([bucket[0].as_py()] * len(kept), pa.int32()),
             "flags": ([k[1] for k in kept], pa.binary()), "lows": ([k[2] for k in kept], pa.binary()),
         })
@@ -238,10 +210,10 @@ def remove_repeats(
         if windowed.num_rows:
             h, _, _, _, start, number = _window_rows(group, *_active(group, anchored, n))
             smallest = np.full(len(h), np.iinfo(np.int64).max)
-            dealt = _dealt(h, n)
+            parts = dealt(h, n)
             for bucket, flags, lows in zip(*(windowed.column(c).to_pylist() for c in ("bucket", "flags", "lows"))):
-                own = dealt[bucket]
-                smallest[own[_from_bits(flags, len(own))]] = _from_planes(lows, np.int64)
+                own = parts[bucket]
+                smallest[own[from_bits(flags, len(own))]] = from_planes(lows, np.int64)
             gone = start[smallest[number] < group.keys[group.row[start]]]
             edges = np.zeros(len(removed) + 1, dtype=np.int64)
             np.add.at(edges, gone, 1)
