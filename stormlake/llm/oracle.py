@@ -35,6 +35,50 @@ _SQL: dict[str, str] = {
         SELECT d.doc_id, len(d.w) AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesce(i.n_items, 0) AS n_items,
                sha256(coalesce(i.names, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN hit_words h USING (doc_id) LEFT JOIN hit_items i USING (doc_id)""",
+    "op5_mixing": r"""
+        WITH named AS (
+            SELECT doc_id, lang, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n_tokens,
+                   TRY_CAST(regexp_extract(coalesce(source, ''), '^src([0-9]{1,9})$', 1) AS INTEGER) AS number
+            FROM documents),
+        rows AS (
+            SELECT doc_id, lang, source, n_tokens, coalesce(lang, '(none)') AS l, coalesce(source, '(none)') AS s,
+                   CASE WHEN number < 10 THEN 'web' WHEN number < 15 THEN 'books' WHEN number >= 15 THEN 'reference' ELSE 'other' END AS domain
+            FROM named),
+        total AS (SELECT CAST(floor(sum(n_tokens) * 0.5) AS DOUBLE) AS budget FROM rows),
+        leaves AS (
+            SELECT domain, l, s, sum(n_tokens) AS tokens, CAST(sum(n_tokens) * 2 AS DOUBLE) AS cap,
+                   CAST(CASE domain WHEN 'web' THEN 0.4 WHEN 'books' THEN 0.35 WHEN 'reference' THEN 0.2 ELSE 0.05 END AS DOUBLE) AS w1,
+                   CAST(CASE l WHEN 'en' THEN 0.5 WHEN 'de' THEN 0.2 WHEN 'es' THEN 0.15 WHEN 'fr' THEN 0.15 ELSE 1.0 END AS DOUBLE) AS w2
+            FROM rows GROUP BY domain, l, s),
+        a0 AS (SELECT domain, sum(cap) AS cap, any_value(w1) AS w, any_value(budget) AS have FROM leaves, total GROUP BY domain HAVING sum(cap) > 0),
+        a1 AS (SELECT *, (have - coalesce(sum(cap) OVER (ORDER BY cap / w, domain ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                      / sum(w) OVER (ORDER BY cap / w, domain ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rate FROM a0),
+        a AS (SELECT domain, CASE WHEN cap / w <= rate THEN cap
+                     ELSE greatest(0, w * max(rate) FILTER (WHERE cap / w > rate) OVER ()) END AS have FROM a1),
+        b0 AS (SELECT domain, l, sum(cap) AS cap, any_value(w2) AS w, any_value(have) AS have FROM leaves JOIN a USING (domain) GROUP BY domain, l HAVING sum(cap) > 0),
+        b1 AS (SELECT *, (have - coalesce(sum(cap) OVER (PARTITION BY domain ORDER BY cap / w, l ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                      / sum(w) OVER (PARTITION BY domain ORDER BY cap / w, l ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rate FROM b0),
+        b AS (SELECT domain, l, CASE WHEN cap / w <= rate THEN cap
+                     ELSE greatest(0, w * max(rate) FILTER (WHERE cap / w > rate) OVER (PARTITION BY domain)) END AS have FROM b1),
+        c0 AS (SELECT domain, l, s, cap, CAST(1.0 AS DOUBLE) AS w, have FROM leaves JOIN b USING (domain, l) WHERE cap > 0),
+        c1 AS (SELECT *, (have - coalesce(sum(cap) OVER (PARTITION BY domain, l ORDER BY cap / w, s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                      / sum(w) OVER (PARTITION BY domain, l ORDER BY cap / w, s ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rate FROM c0),
+        c AS (SELECT domain, l, s, CASE WHEN cap / w <= rate THEN cap
+                     ELSE greatest(0, w * max(rate) FILTER (WHERE cap / w > rate) OVER (PARTITION BY domain, l)) END AS have FROM c1),
+        plan AS (
+            SELECT domain, l, s, CAST(floor(have + 1e-6) AS BIGINT) AS budget, tokens,
+                   CAST(least(2, floor(floor(have + 1e-6) / tokens)) AS INTEGER) AS epochs
+            FROM leaves JOIN c USING (domain, l, s)),
+        placed AS (
+            SELECT r.*, p.epochs, p.budget - p.epochs * p.tokens AS room,
+                   md5('17|' || p.epochs || '|' || coalesce(CAST(doc_id AS VARCHAR), '')) AS place
+            FROM rows r JOIN plan p USING (domain, l, s)),
+        run AS (
+            SELECT *, coalesce(sum(n_tokens) OVER (PARTITION BY domain, l, s ORDER BY place
+                   RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE GROUP), 0) AS before
+            FROM placed),
+        taken AS (SELECT *, epochs + CASE WHEN epochs < 2 AND room > 0 AND before < room THEN 1 ELSE 0 END AS n FROM run)
+        SELECT doc_id, domain, lang, source, CAST(n_tokens AS BIGINT) AS n_tokens, CAST(unnest(range(0, n)) AS INTEGER) AS epoch FROM taken""",
     "op6_near_dedup": rf"""
         WITH RECURSIVE d AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') AS w

@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from stormlake.llm.decontaminate import find_contamination
 from stormlake.llm.language import fit_language, identify
 from stormlake.llm.line_dedup import dedup_lines
+from stormlake.llm.mixing import plan_mix, take_mix, token_count
 from stormlake.llm.near import near_duplicates
 from stormlake.llm.quality import fit_quality, rate_quality
 from stormlake.llm.substring import remove_repeats
+from stormlake.session import stage
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -43,6 +45,31 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", names.alias("items_sha256"), "contaminated")
 
 
+MIX_LEVELS = ("domain", "lang", "source")
+#: weights of nodes among their siblings; sources share evenly
+MIX_WEIGHTS = {
+    "web": 0.4, "books": 0.35, "reference": 0.2, "other": 0.05,
+    "*/en": 0.5, "*/de": 0.2, "*/es": 0.15, "*/fr": 0.15,
+}
+
+
+def with_domain(docs: DataFrame) -> DataFrame:
+    """Sources 0 to 9 are web, 10 to 14 books, 15 and on reference, anything else other."""
+    number = F.regexp_extract(F.coalesce("source", F.lit("")), r"^src([0-9]{1,9})$", 1)
+    number = F.when(number != "", number.cast("int"))
+    domain = F.when(number < 10, "web").when(number < 15, "books").when(number >= 15, "reference").otherwise("other")
+    return docs.withColumn("domain", domain)
+
+
+@query
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of all tokens, mixed to the target weights; a row per document and epoch."""
+    docs = with_domain(_table(spark, sf_dir, "documents"))
+    rows = stage(docs.select("doc_id", *MIX_LEVELS, token_count("text").alias("n_tokens")), "mix-rows")
+    plan = stage(plan_mix(rows, MIX_LEVELS, MIX_WEIGHTS), "mix-plan")
+    return take_mix(rows, plan, MIX_LEVELS)
+
+
 @query
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents that share four fifths of their word pairs."""
