@@ -12,6 +12,7 @@ from stormlake.llm.mixing import plan_mix, take_mix, token_count
 from stormlake.llm.near import near_duplicates
 from stormlake.llm.quality import fit_quality, rate_quality
 from stormlake.llm.substring import remove_repeats
+from stormlake.llm.url_filter import judge_urls
 from stormlake.session import stage
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,6 +46,20 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", names.alias("items_sha256"), "contaminated")
 
 
+#: fixed values: action, host and path
+URL_RULES = [
+    ("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"), ("block", "net", "/fr/"),
+]
+
+
+@query
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, fitting rule and verdict of every page."""
+    found = judge_urls(_table(spark, sf_dir, "pages"), URL_RULES)
+    return found.select("page_id", "host", "path", "rule", "verdict", "template")
+
+
 MIX_LEVELS = ("domain", "lang", "source")
 #: weights of nodes among their siblings; sources share evenly
 MIX_WEIGHTS = {
