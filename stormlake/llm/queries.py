@@ -5,7 +5,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stormlake.llm.ann import build_lists, search_lists
 from stormlake.llm.decontaminate import find_contamination
+from stormlake.llm.html_text import extract_text
 from stormlake.llm.language import fit_language, identify
 from stormlake.llm.line_dedup import dedup_lines
 from stormlake.llm.mixing import plan_mix, take_mix, token_count
@@ -38,6 +40,16 @@ def graded(labels: DataFrame) -> DataFrame:
     return labels.select("doc_id", grade.alias("grade"))
 
 
+@query
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found, by inner product, of every vector whose id is divisible by 20."""
+    index = build_lists(_table(spark, sf_dir, "embeddings"))
+    if index is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    found = search_lists(index, index.vectors.where(F.col("key") % 20 == 0))
+    return found.select("query_id", "rank", F.col("key").alias("vec_id"), "score")
+
+
 @query
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document inside a ten-word window of a benchmark item."""
@@ -60,6 +72,12 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "host", "path", "rule", "verdict", "template")
 
 
+@query
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The visible text of every page, laid out."""
+    return extract_text(_table(spark, sf_dir, "pages"))
+
+
 MIX_LEVELS = ("domain", "lang", "source")
 #: weights of nodes among their siblings; sources share evenly
 MIX_WEIGHTS = {
