@@ -29,7 +29,7 @@ LONGEST = 4
 SMOOTH = 0.5
 STEP_DOWN = 0.5
 UNKNOWN = "und"
-_CHUNK = 4 << 20
+_CHUNK = 2 << 20
 #: runs of letters of any script
 _LETTERS = re.compile(r"[^\W\d_]+")
 #: words longer than this are counted and scored by their n-grams only
@@ -93,50 +93,67 @@ def count_grams(words: DataFrame, longest: int = LONGEST) -> DataFrame:
 
 
 class LanguageModel:
-    """Log frequencies by language: ``words[word]`` and ``grams[size][gram]`` are arrays over ``langs``."""
+    """Log frequencies by language: a table of words and one of the n-grams of each length, each
+    a dictionary into the rows of a matrix with a column for every language."""
 
-    def __init__(self, langs: list[str], words: dict, grams: list[dict], absent_words: np.ndarray, absent_grams: list[np.ndarray]):
+    def __init__(self, langs: list[str], words: tuple[dict, np.ndarray], grams: list[tuple[dict, np.ndarray]]):
         self.langs, self.words, self.grams = langs, words, grams
-        self.absent_words, self.absent_grams = absent_words, absent_grams
 
-    def word_score(self, word: str) -> np.ndarray:
-        known = self.words.get(word)
-        if known is not None:
-            return known
+    def word_scores(self, words: list[str]) -> np.ndarray:
+        """A row for each word: its own log frequencies if known, else the mean of those of its longest
+        known n-grams less ``STEP_DOWN`` a step; zeros where nothing is known."""
+        at, table = self.words
+        number = np.array([at.get(w, -1) for w in words], dtype=np.int64)
+        out = np.zeros((len(words), len(self.langs)))
+        out[number >= 0] = table[number[number >= 0]]
+        left = np.flatnonzero(number < 0)
         for size in range(len(self.grams), 0, -1):
-            table = self.grams[size - 1]
-            seen = [table[g] for g in _grams(word, size) if g in table]
-            if seen:
-                return np.mean(seen, axis=0) - STEP_DOWN * (len(self.grams) - size + 1)
-        return np.zeros(len(self.langs))
-
-    def predict(self, text: str | None, kept: dict) -> tuple[str, float]:
-        """The language and its share of the posterior under equal priors; ties to the first
+            if not len(left):
+                break
+            at, table = self.grams[size - 1]
+            found = [[at[g] for g in _grams(words[i], size) if g in at] for i in left.tolist()]
+            sizes = np.array([len(f) for f in found])
+            seen = np.flatnonzero(sizes)
+            if len(seen):
+                flat = np.fromiter((g for i in seen.tolist() for g in found[i]), dtype=np.int64, count=int(sizes.sum()))
+                starts = np.cumsum(sizes[seen]) - sizes[seen]
+                means = np.add.reduceat(table[flat], starts, axis=0) / sizes[seen][:, None]
+                out[left[seen]] = means - STEP_DOWN * (len(self.grams) - size + 1)
+            left = left[sizes == 0]
+        return out
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        """The language of each text and its share of the posterior under equal priors; ties to the first
         name. ``und`` and 0 for a null text, one without letters, or an untrained model."""
-        counts = _words(text) if text else None
-        if not counts or not self.langs:
-            return UNKNOWN, 0.0
-        total = np.zeros(len(self.langs))
-        for word, n in counts.items():
-            score = kept.get(word)
-            if score is None:
-                score = self.word_score(word)
-                if len(kept) < 200_000:
-                    kept[word] = score
-            total = total + n * score
-        best = int(np.argmax(total))
-        return self.langs[best], float(1 / np.exp(np.clip(total - total[best], -700, 0)).sum())
+        number: dict[str, int] = {}
+        flat, counts, sizes = [], [], []
+        for text in texts:
+            own = _words(text) if text else {}
+            flat.extend([number.setdefault(w, len(number)) for w in own])
+            counts.extend(own.values())
+            sizes.append(len(own))
+        if not self.langs or not flat:
+            return [UNKNOWN] * len(texts), [0.0] * len(texts)
+        scores = self.word_scores(list(number))
+        owner = np.repeat(np.arange(len(texts)), sizes)
+        flat, counts = np.array(flat), np.array(counts, dtype=np.float64)
+        total = np.stack([np.bincount(owner, counts * scores[flat, i], len(texts)) for i in range(len(self.langs))], axis=1)
+        best = total.argmax(axis=1)
+        share = 1 / np.exp(np.clip(total - total.max(axis=1, keepdims=True), -700, 0)).sum(axis=1)
+        known = np.array(sizes) > 0
+        return [self.langs[b] if k else UNKNOWN for b, k in zip(best.tolist(), known.tolist())], np.where(known, share, 0.0).tolist()
 
 
 def _log_table(rows: list[tuple[str, str, int]], langs: list[str], totals: dict[str, int]) -> tuple[dict, np.ndarray]:
     """Log relative frequencies with smoothing; what a language lacks counts ``SMOOTH``."""
     sizes = np.array([totals.get(name, 0) for name in langs], dtype=np.float64) + 1
-    absent = np.log(SMOOTH / sizes)
-    at = {name: i for i, name in enumerate(langs)}
-    counts: dict[str, np.ndarray] = {}
-    for name, key, n in rows:
-        counts.setdefault(key, np.zeros(len(langs)))[at[name]] = n
-    return {key: np.log((n + SMOOTH) / sizes) for key, n in counts.items()}, absent
+    column = {name: i for i, name in enumerate(langs)}
+    at: dict[str, int] = {}
+    places = [(at.setdefault(key, len(at)), column[name], n) for name, key, n in rows]
+    counts = np.zeros((len(at), len(langs)))
+    for row, i, n in places:
+        counts[row, i] = n
+    return at, np.log((counts + SMOOTH) / sizes)
 
 
 def fit_language(docs: DataFrame, text: str = "text", lang: str = "lang", words: int = WORDS, grams: int = GRAMS) -> LanguageModel:
@@ -154,33 +171,29 @@ def fit_language(docs: DataFrame, text: str = "text", lang: str = "lang", words:
     counted = counted.where(F.col("lang").isin(langs))
     top = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
     rows = counted.withColumn("_at", F.row_number().over(top)).where(F.col("_at") <= words).drop("_at").collect()
-    table, absent = _log_table([(r["lang"], r["word"], r["n"]) for r in rows], langs, totals)
+    table = _log_table([(r["lang"], r["word"], r["n"]) for r in rows], langs, totals)
     by_size = stage(count_grams(counted), "language-grams")
     top = Window.partitionBy("lang", "size").orderBy(F.desc("n"), "gram")
     kept = by_size.withColumn("_at", F.row_number().over(top)).where(F.col("_at") <= grams).drop("_at").collect()
     gram_totals = by_size.groupBy("lang", "size").agg(F.sum("n").alias("n")).collect()
-    tables, absents = [], []
+    tables = []
     for size in range(1, LONGEST + 1):
         own = {r["lang"]: r["n"] for r in gram_totals if r["size"] == size}
-        got, missing = _log_table([(r["lang"], r["gram"], r["n"]) for r in kept if r["size"] == size], langs, own)
-        tables.append(got)
-        absents.append(missing)
-    return LanguageModel(langs, table, tables, absent, absents)
+        tables.append(_log_table([(r["lang"], r["gram"], r["n"]) for r in kept if r["size"] == size], langs, own))
+    return LanguageModel(langs, table, tables)
 
 
 def identify(docs: DataFrame, model: LanguageModel, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns, ``lang_pred`` and ``score`` for every row, in one pass without a shuffle."""
-    shared = docs.sparkSession.sparkContext.broadcast(
-        (model.langs, model.words, model.grams, model.absent_words, model.absent_grams)
-    )
+    shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.words, model.grams))
     kept_schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
 
     def predicted(batches):
-        local, seen = LanguageModel(*shared.value), {}
+        local = LanguageModel(*shared.value)
         for batch in chunks(batches, "_text", _CHUNK):
-            found = [local.predict(value, seen) for value in batch.column("_text").to_pylist()]
+            names, shares = local.predict(batch.column("_text").to_pylist())
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in keep), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
+                [*(batch.column(c) for c in keep), pa.array(names, pa.string()), pa.array(shares, pa.float64())],
                 names=[*keep, "lang_pred", "score"],
             )
 
