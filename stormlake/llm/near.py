@@ -2,14 +2,14 @@
 
 Every text becomes a set of word shingles, ``HASHES`` MinHash values of it, ``BANDS`` band keys,
 and an odd sketch: a bitmap in which each MinHash sample flips one bit. Two bitmaps differ in about
-as many bits as the samples differ, so the population count of their XOR estimates high similarities closely, at 64
+as many bits as the samples differ, so the population count of their XOR estimates high similarities closely, at 128
 bytes a document (Mitzenmacher et al. 2014). Candidates share a band; those whose sketches are far apart are
-dropped with a margin of five standard errors; the rest is confirmed on the full sets.
+dropped with a margin of 4.5 standard errors; the rest is confirmed on the full sets.
 
 Copies are one row from the start (equal sets have equal digests). Within a band no list of all pairs is
 made: first every member meets the smallest member only. Where the confirmed links have not
-joined a band's members into one component, those outside its largest component meet the
-others. A pair that is skipped is one that is already connected, so components are whole.
+joined a band's members into one component, those outside its largest component meet a few members of it, picked by
+hash, and only who is still outside then meets the others. A pair that is skipped is one that is already connected, so components are whole.
 """
 
 from __future__ import annotations
@@ -28,10 +28,13 @@ from stormlake.session import stage
 
 #: a pair of similarity 0.8 shares no band with probability (1 - 0.8**5)**40, about 1e-7
 BANDS, ROWS = 40, 5
-HASHES = BANDS * ROWS
-SKETCH_BITS = 512
-#: sketch estimates may fall short of the threshold by this much: five standard errors
-MARGIN = 0.2
+#: MinHash values; the bands use the first of them, the sketch all
+HASHES = 2 * BANDS * ROWS
+SKETCH_BITS = 1024
+#: sketch estimates may fall short of the threshold by this much: 4.5 standard errors
+MARGIN = 0.12
+#: members of a band's largest component that each outsider meets before it meets all
+HUBS = 6
 _CHUNK = 1 << 20
 
 
@@ -161,6 +164,19 @@ def _apart(one: str, other: str):
     return total
 
 
+def _with(roots: DataFrame, more: DataFrame) -> DataFrame:
+    return roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)
+
+
+def _unjoined(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """``band, node, root, largest`` of the bands whose members are in several components."""
+    rooted = members.join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
+    rooted = stage(rooted, "near-rooted")
+    sizes = rooted.groupBy("band", "root").agg(F.count("*").alias("size"))
+    several = sizes.groupBy("band").agg(F.max_by("root", F.struct("size", "root")).alias("largest"), F.count("*").alias("parts"))
+    return stage(rooted.join(several.where(F.col("parts") > 1).select("band", "largest"), "band"), "near-unjoined")
+
+
 def near_duplicates(
     docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80
 ) -> DataFrame:
@@ -173,7 +189,6 @@ def near_duplicates(
     to one component, whatever their texts. A row without a key takes no part: its component is
     null and it is kept. Columns besides key and text are left out.
     """
-    percent_share = percent / 100
     signed = stage(sign(docs, key, text, n), "near-signatures")
     full = signed.where(F.col("d1").isNotNull() & F.col("key").isNotNull())
     sets = stage(
@@ -190,31 +205,37 @@ def near_duplicates(
     members = stage(banded.join(hubs, "band").distinct(), "near-bands")
 
     sketches = sets.select("node", "sketch")
-    limit = furthest(percent_share)
-    stars = members.where(F.col("node") != F.col("hub")).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    stars = (
-        stars.join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("sketch_a")), "a")
-        .join(sketches.select(F.col("node").alias("b"), F.col("sketch").alias("sketch_b")), "b")
-        .where(_apart("sketch_a", "sketch_b") <= limit)
-        .select("a", "b")
-        .distinct()
-    )
+    limit = furthest(percent / 100)
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        """Distinct pairs ``a, b`` whose sketches are close enough."""
+        return (
+            pairs.distinct()
+            .join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("sketch_a")), "a")
+            .join(sketches.select(F.col("node").alias("b"), F.col("sketch").alias("sketch_b")), "b")
+            .where(_apart("sketch_a", "sketch_b") <= limit)
+            .select("a", "b")
+            .distinct()
+        )
+
     needed = members.select(F.col("node").alias("key")).distinct()
     texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(needed, "key", "left_semi")
     texts = stage(texts.where(F.col("text").isNotNull()).select(F.col("key").alias("node"), "text").distinct(), "near-texts")
-    linked = stage(confirm(stars, texts, n, percent).unionByName(repeated), "near-links")
-    roots = connected_components(linked, "a", "b")
-
-    rooted = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rooted = stage(rooted.select("band", "node", "root"), "near-rooted")
-    apart = rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where(F.col("low") != F.col("high"))
-    rest = rooted.join(apart.select("band"), "band").join(sketches, "node")
-    rest = stage(rest, "near-rest")
-    largest = (
-        rest.groupBy("band", "root").agg(F.count("*").alias("size"))
-        .groupBy("band").agg(F.max_by("root", F.struct("size", "root")).alias("largest"))
+
+    stars = members.where(F.col("node") != F.col("hub")).select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    roots = connected_components(confirm(alike(stars), texts, n, percent).unionByName(repeated), "a", "b")
+
+    rest = _unjoined(members, roots)
+    inside = rest.where(F.col("root") == F.col("largest"))
+    picked = inside.groupBy("band").agg(F.array(*(F.min_by("node", F.xxhash64("node", F.lit(i))) for i in range(HUBS))).alias("hubs"))
+    met = (
+        rest.where(F.col("root") != F.col("largest")).join(picked, "band")
+        .select(F.col("node").alias("b"), F.explode(F.array_distinct("hubs")).alias("a"))
     )
-    outside = rest.join(largest, "band").where(F.col("root") != F.col("largest"))
+    roots = connected_components(_with(roots, confirm(alike(met), texts, n, percent)), "a", "b")
+
+    rest = stage(_unjoined(members, roots).join(sketches, "node"), "near-rest")
+    outside = rest.where(F.col("root") != F.col("largest"))
     one = outside.select("band", F.col("node").alias("x"), F.col("root").alias("root_x"), F.col("sketch").alias("sketch_x"), "largest")
     other = rest.select("band", F.col("node").alias("y"), F.col("root").alias("root_y"), F.col("sketch").alias("sketch_y"))
     crossed = (
@@ -225,9 +246,7 @@ def near_duplicates(
         .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         .distinct()
     )
-    more = confirm(crossed, texts, n, percent)
-    joined = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)
-    final = connected_components(joined, "a", "b")
+    final = connected_components(_with(roots, confirm(crossed, texts, n, percent)), "a", "b")
 
     found = (
         signed.select("key", "n_shingles", "d1", "d2")

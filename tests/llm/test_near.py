@@ -99,7 +99,7 @@ def test_sketch_margin_keeps_what_may_be_linked():
     rng = np.random.default_rng(0)
     apart = []
     for _ in range(2000):
-        differing = rng.binomial(200, 0.2)
-        flips = np.bincount(rng.integers(0, 512, 2 * differing), minlength=512) & 1
+        differing = rng.binomial(400, 0.2)
+        flips = np.bincount(rng.integers(0, 1024, 2 * differing), minlength=1024) & 1
         apart.append(flips.sum())
     assert max(apart) < furthest(0.8)
