@@ -7,7 +7,6 @@ see XML. Fixed texts are shared with the package; all logic here is stated anew.
 import re
 
 from stormlake.constants import ANSWER_PROMPT, DOCUMENT_LINES
-from stormlake.operators.context import MAX_CHARS
 
 # e: event, u: user; one row per bulletin that is not malformed
 _RAW = """
@@ -166,18 +165,18 @@ found AS (
 
 
 def _contexts(source: str) -> str:
-    """Context per question while it fits, else per day, else per instant."""
+    """Context per question, place, day and four million characters."""
     return f"""
-sized AS (
-  SELECT *, sum(length(txt) + 1) OVER (PARTITION BY question_id) AS total,
-    sum(length(txt) + 1) OVER (PARTITION BY question_id, CAST(obs_jst AS DATE)) AS daily
+sliced AS (
+  SELECT *, coalesce(sum(length(txt) + 1) OVER (PARTITION BY question_id, place, CAST(obs_jst AS DATE) ORDER BY obs_jst, id_
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 4000000 AS slice
   FROM {source}),
 contexts AS (
   SELECT question_id,
-    CASE WHEN total <= {MAX_CHARS} THEN '' WHEN daily <= {MAX_CHARS} THEN strftime(obs_jst, '%Y-%m-%d')
-      ELSE strftime(obs_jst, '%Y-%m-%d %H:%M:%S') END AS part,
-    string_agg(txt, ' ' ORDER BY place, obs_jst, id_) AS context
-  FROM sized GROUP BY 1, 2)"""
+    lpad(CAST(place AS VARCHAR), 6, '0') || ' ' || coalesce(strftime(obs_jst, '%Y-%m-%d'), '9999-12-31')
+      || ' ' || lpad(CAST(slice AS VARCHAR), 6, '0') AS part,
+    string_agg(txt, ' ' ORDER BY obs_jst, id_) AS context
+  FROM sliced GROUP BY 1, 2)"""
 
 
 _PROMPT = _filled(

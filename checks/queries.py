@@ -32,7 +32,7 @@ from stormlake.operators.similarity import approximate_top_k, bucket_index, sear
 from stormlake.operators.upsert import upsert
 from stormlake.plans.answer import answer_batch, fallback_hits, structured_hits
 from stormlake.plans.ingest import documents, documents_from_payloads, observations
-from stormlake.session import spread, stage, work_path
+from stormlake.session import stage, work_path
 from stormlake.sources.archive import read_archive, write_archive
 from stormlake.sources.bulletins import parse_bulletins, read_bulletins, split_quarantine
 from stormlake.sources.feed import read_feed, storm_entries
@@ -100,7 +100,7 @@ def _questions(documents: DataFrame) -> DataFrame:
 
 
 def _index(documents: DataFrame) -> DataFrame:
-    texts = spread(documents.select("unique_event_id", "Text"))
+    texts = documents.select("unique_event_id", "Text")
     return stage(sync_index(None, texts, "unique_event_id", "Text"), "index")
 
 
@@ -479,7 +479,7 @@ def name_match(spark, sf):
 
 def _retrieval(name, start=None, end=None):
     def run(spark, sf):
-        return retrieve(_documents(spark, sf), name, start, end)
+        return retrieve(_document_table(spark, sf), name, start, end)
 
     return run
 

@@ -15,14 +15,16 @@ from .constants import (
     PROPERTY_NAME,
     PROPERTY_WIND,
 )
-from .session import spread
 
 CORRECTION = "訂正"
 ANNOUNCEMENT = "発表"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    """A given table, as the landing zone that the fixtures derive from: dealt over all cores,
+    since each file is a single row group."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return rows.repartition(spark.sparkContext.defaultParallelism)
 
 
 def _text(*parts) -> Column:

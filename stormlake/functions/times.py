@@ -13,6 +13,7 @@ _ISO = (
 _ISO_WITH_OFFSET = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(Z|[+-]\d{2}:\d{2})$"
 _LENIENT = r"^(?!0000)\d{4}-\d{1,2}-\d{1,2}(T\d{1,2}:\d{1,2}:\d{1,2})?$"
 
+NO_YEAR = "unknown"
 TOKYO_OFFSET_MINUTES = 540
 MAX_OFFSET_MINUTES = 18 * 60
 
@@ -54,4 +55,5 @@ def lenient_time(text: Column) -> Column:
 
 
 def event_year(text: Column) -> Column:
-    return F.substring(text, 1, 4)
+    """Year of a readable time; all others share one value, so partitions are bounded."""
+    return F.when(wall_clock(text).isNotNull(), F.substring(text, 1, 4)).otherwise(NO_YEAR)

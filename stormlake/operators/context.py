@@ -1,21 +1,19 @@
 """Context assembly and prompts.
 
-A question may match most of the corpus, so its context is not one row by force: it is
-one row while it fits ``max_chars``, else one row per day, per instant, or per slice of
-an instant, whichever is the coarsest that fits. Nothing is left out, and joining the
-parts of a question in the order of ``part`` with one space gives the whole context.
+A question may match most of the corpus, so its context is not one row by force. The same
+rule cuts every context, large or small: a part for each place (the rank of a similar
+document; 0 for documents found by their window), day, and slice of the day. A new slice begins
+where the texts of the day before it reach another ``SLICE_CHARS``. Nothing is left out, and
+joining the parts of a question in the order of ``part`` with one space gives its whole context.
 """
 
-import math
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import ANSWER_PROMPT
-from ..session import stage
 from .documents import fill
 
-MAX_CHARS = 4_000_000
+SLICE_CHARS = 4_000_000
 _NO_TIME = "9999-12-31 23:59:59.999999"
 
 
@@ -24,63 +22,22 @@ def _instant():
     return F.coalesce(F.rpad(F.col("obs_jst").cast("string"), 26, " "), F.lit(_NO_TIME))
 
 
-def _sizes(hits: DataFrame) -> DataFrame:
-    return hits.select(
-        "question_id", _instant().alias("instant"), (F.col("text_chars") + 1).alias("chars")
-    )
-
-
-def _oversize(hits: DataFrame, max_chars: int) -> DataFrame:
-    """Questions whose texts do not fit one row; sizes are summed before the shuffle."""
-    totals = _sizes(hits).groupBy("question_id").agg(F.sum("chars").alias("total"))
-    return totals.where(F.col("total") > max_chars).select("question_id")
-
-
-def _parts(hits: DataFrame, oversize: DataFrame, max_chars: int) -> DataFrame:
-    """``question_id, instant, part_stem, digits`` of the oversize questions."""
-    instants = (
-        _sizes(hits)
-        .join(oversize, "question_id", "left_semi")
-        .groupBy("question_id", "instant")
-        .agg(F.sum("chars").alias("chars"))
-        .withColumn("day", F.substring("instant", 1, 10))
-    )
-    days = instants.groupBy("question_id", "day").agg(F.sum("chars").alias("day_chars"))
-    sized = instants.join(days, ["question_id", "day"])
-    by_day = F.col("day_chars") <= max_chars
-    # ids are uniform hex digests: n digits cut an instant into 16^n even slices in id order
-    digits = F.when(by_day | (F.col("chars") <= max_chars), 0).otherwise(
-        F.ceil(F.log(F.col("chars") / max_chars) / math.log(16)) + 1
-    )
-    return sized.select(
-        "question_id",
-        "instant",
-        F.when(by_day, F.col("day")).otherwise(F.col("instant")).alias("part_stem"),
-        digits.cast("int").alias("digits"),
-    )
-
-
-def assemble_context(hits: DataFrame, max_chars: int = MAX_CHARS) -> DataFrame:
-    """``question_id, part, context``: texts in time order, then id, joined by a space.
+def assemble_context(hits: DataFrame, slice_chars: int = SLICE_CHARS) -> DataFrame:
+    """``question_id, part, context``: texts in order of place, time and id, joined by a space.
 
-    ``hits`` holds ``question_id, place, obs_jst, id_, Text, text_chars``; ``place`` goes
-    before time where hits have a rank of their own. Sizes are checked first, from the
-    narrow columns; the plan that cuts contexts into parts is only built when needed.
+    ``hits`` holds ``question_id, place, obs_jst, id_, Text, text_chars``. ``part`` is place, day and
+    slice; texts without a time share the last day, 9999-12-31.
     """
-    placed = hits.select("question_id", "place", _instant().alias("instant"), "id_", "Text")
-    oversize = stage(_oversize(hits, max_chars), "oversize")
-    if oversize.isEmpty():
-        placed = placed.withColumn("part", F.lit(""))
-    else:
-        parts = _parts(hits, oversize, max_chars)
-        part = F.concat(F.col("part_stem"), F.lit(" "), F.expr("substring(id_, 1, digits)"))
-        placed = placed.join(parts, ["question_id", "instant"], "left").withColumn(
-            "part", F.trim(F.coalesce(part, F.lit("")))
-        )
-    entry = F.struct("place", "instant", "id_", "Text")
-    grouped = placed.groupBy("question_id", "part").agg(
-        F.array_sort(F.collect_list(entry)).alias("entries")
+    day = F.substring(_instant(), 1, 10)
+    placed = hits.select(
+        "question_id", F.lpad(F.col("place").cast("string"), 6, "0").alias("place"), day.alias("day"), "text_chars",
+        F.struct(_instant().alias("instant"), "id_", "Text").alias("entry"),
     )
+    order = Window.partitionBy("question_id", "place", "day").orderBy("entry.instant", "entry.id_")
+    before = F.sum(F.col("text_chars") + 1).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    number = F.floor(F.coalesce(before, F.lit(0)) / slice_chars).cast("string")
+    sliced = placed.withColumn("part", F.concat_ws(" ", "place", "day", F.lpad(number, 6, "0")))
+    grouped = sliced.groupBy("question_id", "part").agg(F.array_sort(F.collect_list("entry")).alias("entries"))
     return grouped.select(
         "question_id", "part", F.array_join(F.col("entries.Text"), " ").alias("context")
     )

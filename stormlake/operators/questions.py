@@ -15,8 +15,6 @@ _MOMENT = (
     + r")[a-z]* (\d{4})(?:,? (?:at )?(?:(\d{1,2}):(\d{2})(?::(\d{2}))? ?(am|pm)?|(\d{1,2}) ?(am|pm))\b)?"
 )
 _UP_TO = r"(?i)\b(?:up to|until|till)\b"
-# words of a storm name, at most
-_NAME_WORDS = 4
 
 
 def storm_names(documents: DataFrame) -> DataFrame:
@@ -57,17 +55,17 @@ def _moment(groups: Column) -> Column:
     return F.concat_ws("T", date, F.when(on_24.isNotNull(), clock).otherwise(end_of_day))
 
 
-def _grams(words: Column) -> Column:
-    """All runs of one to four words as (position, length, text)."""
-    def run(position: Column, length: int) -> Column:
-        text = F.array_join(F.slice(words, position, F.lit(length)), " ")
-        return F.struct(position.alias("at"), F.lit(length).alias("n"), text.alias("text"))
+def _grams(words: Column, longest: int) -> Column:
+    """All runs of one to ``longest`` words as (position, length, text)."""
+    def run(position: Column, length: Column) -> Column:
+        text = F.array_join(F.slice(words, position, length), " ")
+        return F.struct(position.alias("at"), length.alias("n"), text.alias("text"))
 
-    positions = F.sequence(F.lit(1), F.size(words))
-    runs = F.flatten(
-        F.transform(positions, lambda p: F.array(*[run(p, n) for n in range(1, _NAME_WORDS + 1)]))
-    )
-    return F.filter(runs, lambda r: r["at"] + r["n"] - 1 <= F.size(words))
+    def runs_at(position: Column) -> Column:
+        most = F.least(F.lit(longest), F.size(words) - position + 1)
+        return F.transform(F.sequence(F.lit(1), most), lambda n: run(position, n))
+
+    return F.flatten(F.transform(F.sequence(F.lit(1), F.size(words)), runs_at))
 
 
 def _name_key(name: Column) -> Column:
@@ -79,16 +77,18 @@ def find_names(questions: DataFrame, names: DataFrame) -> DataFrame:
     """``question_id, name``: the words of the question that spell a storm's name.
 
     Word runs meet the distinct names on equality. The longest run wins, then the first.
+    A name of so many letters is spelled in at most so many words, which bounds the runs.
     """
+    known = names.select(_name_key(F.col("TyphoonName")).alias("name_key")).where("name_key <> ''").distinct()
+    longest = known.agg(F.max(F.length("name_key"))).first()[0] or 1
     spaced = F.regexp_replace(F.col("question"), r"(?U)[^\w]+", " ")
     words = F.split(F.trim(spaced), " ")
     runs = questions.where(F.trim(spaced) != "").select(
-        "question_id", F.explode(_grams(words)).alias("run")
+        "question_id", F.explode(_grams(words, longest)).alias("run")
     )
     keyed = runs.select(
         "question_id", "run.at", "run.n", "run.text", _name_key(F.col("run.text")).alias("name_key")
     )
-    known = names.select(_name_key(F.col("TyphoonName")).alias("name_key")).where("name_key <> ''").distinct()
     best = F.min_by("text", F.struct(-F.length("name_key"), F.col("at"), F.col("n")))
     return keyed.join(known, "name_key").groupBy("question_id").agg(best.alias("name"))
 

@@ -6,12 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import name_matches, normal_name, without_hyphen, without_spaces
+from ..functions.times import NO_YEAR
 from ..session import stage
 from .questions import storm_names
 
 RESULT = ("ObservationDate", "ObservationTime", "ObservationDateTime", "Text", "TyphoonName")
-# A window up to this long is looked up by day, a longer one by name alone.
-MAX_DAYS = 31
 _GRAM = 3
 
 
@@ -95,42 +94,41 @@ def match_names(wanted: DataFrame, names: DataFrame) -> DataFrame:
     return met.select("name", "TyphoonName").distinct()
 
 
-def _year(day: Column) -> Column:
-    return F.lpad(F.year(day).cast("string"), 4, "0")
+def _year(time: Column, days: int) -> Column:
+    return F.year(F.date_add(time.cast("date"), days))
 
 
 def match_questions(bounded: DataFrame, documents: DataFrame) -> DataFrame:
     """All documents of all questions: ``question_id, mode`` and the document columns.
 
     ``bounded`` holds ``question_id, name, mode, lo, hi``. Names are resolved on distinct
-    names. A short window becomes its days, so documents are met on name, year and day:
-    the year prunes partitions at run time and no document is compared with questions
-    about other days. An open or long window is met on the name, with the window as a
-    filter of the join.
-
+    names. Every window becomes the years it covers, of those that the table has: documents are
+    met on name and year, with the window as a filter of the join, so years are pruned at run time for
+    short, long and open windows alike. A question without a window also meets documents of no readable year.
     The resolved questions are written out first: their size is then known to the
     planner, which broadcasts them only if they are small and else shuffles both sides.
     """
     asked = bounded.select("question_id", "name", "mode", "lo", "hi")
     resolved = asked.join(match_names(asked, storm_names(documents)), "name").drop("name")
     named = stage(resolved, "resolved")
-    span = F.datediff(F.col("hi").cast("date"), F.col("lo").cast("date"))
-    short = span.between(0, MAX_DAYS)
+    # the partition column alone: first and last readable year of the table
+    held = documents.where(F.col("event_year") != NO_YEAR).select(F.col("event_year").try_cast("int").alias("y"))
+    span = held.agg(F.min("y").alias("first"), F.max("y").alias("last")).first()
+    first, last = (span["first"], span["last"]) if span["first"] is not None else (1, 0)
+    # an event's year is of its own zone, less than two days from Tokyo time
+    begin = F.greatest(F.coalesce(_year(F.col("lo"), -2), F.lit(first)), F.lit(first))
+    end = F.least(F.coalesce(_year(F.col("hi"), 2), F.lit(last)), F.lit(last))
+    covered = F.transform(F.sequence(begin, end), lambda y: F.lpad(y.cast("string"), 4, "0"))
+    years = F.when(begin <= end, covered).otherwise(F.array().cast("array<string>"))
+    open_window = F.col("lo").isNull() & F.col("hi").isNull()
+    years = F.when(open_window, F.concat(years, F.array(F.lit(NO_YEAR)))).otherwise(years)
+    # the planner prunes years at run time for a side that has a filter of its own
+    keyed = named.where(F.size(years) > 0).withColumn("event_year", F.explode(years))
     within = (F.col("lo").isNull() | (F.col("obs_jst") >= F.col("lo"))) & (
         F.col("hi").isNull() | (F.col("obs_jst") <= F.col("hi"))
     )
-    columns = ["question_id", "mode", *documents.columns]
-
-    days = named.where(short).withColumn(
-        "day", F.explode(F.sequence(F.col("lo").cast("date"), F.col("hi").cast("date")))
-    )
-    years = F.array_distinct(F.array(*[_year(F.date_add("day", n)) for n in (-2, 0, 2)]))
-    keyed = days.withColumn("event_year", F.explode(years))
-    dated = documents.withColumn("day", F.col("obs_jst").cast("date"))
-    by_day = dated.join(keyed, ["TyphoonName", "event_year", "day"]).where(within).select(*columns)
-
-    by_name = documents.join(named.where(~F.coalesce(short, F.lit(False))), "TyphoonName").where(within).select(*columns)
-    return by_day.unionByName(by_name)
+    met = documents.join(keyed, ["TyphoonName", "event_year"]).where(within)
+    return met.select("question_id", "mode", *documents.columns)
 
 
 def retrieve_batch(bounded: DataFrame, documents: DataFrame) -> DataFrame:

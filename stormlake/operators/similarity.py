@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.vectors import SCORE_DECIMALS, dot, plane_signs
 from ..session import stage
@@ -86,14 +87,14 @@ def _block_top_k(
         [T.StructField(query_key, query_type), T.StructField(key, key_type), T.StructField("score", T.DoubleType())]
     )
     names = schema.names
-    arrow_types = [_arrow_type(f.dataType) for f in schema]
+    arrow_types = [to_arrow_type(f.dataType) for f in schema]
     return docs.select(key, embedding).mapInArrow(search, schema)
 
 
-def _arrow_type(kind: T.DataType) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string()}[
-        kind.simpleString()
-    ]
+def _usual_length(docs: DataFrame, embedding: str) -> int:
+    lengths = docs.where(F.col(embedding).isNotNull()).groupBy(F.size(embedding).alias("n")).count()
+    usual = lengths.orderBy(F.desc("count"), "n").first()
+    return usual["n"] if usual and usual["n"] else 1
 
 
 def top_k(
@@ -104,9 +105,14 @@ def top_k(
     key: str,
     embedding: str = "embedding",
     block_bytes: int = BLOCK_BYTES,
+    dim: int | None = None,
 ) -> DataFrame:
     """``query_key, key, score, rank``: the exact k best documents of every query.
 
+    ``dim`` is the length of the indexed vectors; without it, the most frequent length among the
+    documents. Vectors of another length, with a hole, or all zero take no part and do
+    not change what the others find.
+
     The documents are read once per block of queries and never shuffled: each task
     scores its batches as one matrix product and keeps k rows per query, and only those
     are ranked. The number of blocks follows from the measured size of the queries, so a
@@ -114,11 +120,13 @@ def top_k(
     """
     asked = queries.where(F.col(embedding).isNotNull()).select(query_key, embedding)
     usable = stage(asked, "queries")
-    size = usable.agg(F.count("*").alias("n"), F.max(F.size(embedding)).alias("dim")).first()
-    dim = size["dim"] or 1
-    blocks = max(1, math.ceil(size["n"] * dim * 8 / block_bytes))
-    # a vector of another length, or with a hole in it, cannot be compared
-    fits = (F.size(embedding) == dim) & ~F.exists(F.col(embedding), lambda x: x.isNull())
+    dim = dim or _usual_length(docs, embedding)
+    blocks = max(1, math.ceil(usable.count() * dim * 8 / block_bytes))
+    fits = (
+        (F.size(embedding) == dim)
+        & ~F.exists(F.col(embedding), lambda x: x.isNull())
+        & F.exists(F.col(embedding), lambda x: x != 0)
+    )
     usable, docs = usable.where(fits), docs.where(fits)
     numbered = usable.withColumn("_block", F.pmod(F.xxhash64(query_key), F.lit(blocks)))
     scored = None
@@ -131,10 +139,11 @@ def top_k(
 
 
 def search(
-    queries: DataFrame, docs: DataFrame, columns: list[str], query_key: str, key: str, k: int = SEARCH_K
+    queries: DataFrame, docs: DataFrame, columns: list[str], query_key: str, key: str, k: int = SEARCH_K,
+    dim: int | None = None,
 ) -> DataFrame:
     """Top-k with chosen document columns; the few found keys look their rows up."""
-    found = top_k(queries, docs, k, query_key, key)
+    found = top_k(queries, docs, k, query_key, key, dim=dim)
     wanted = docs.select(*dict.fromkeys([key, *columns]))
     return found.join(wanted, key).select(query_key, "rank", "score", *columns)
 

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.context import MAX_CHARS, answer_prompts, assemble_context
+from ..operators.context import answer_prompts, assemble_context
 from ..operators.embed import DIMENSIONS, embed
 from ..operators.questions import parse_questions, resolve_questions, storm_names
 from ..operators.retrieve import match_questions
@@ -28,7 +28,7 @@ def fallback_hits(
     distinct = texts.select("_text_id", "question").dropDuplicates(["_text_id"])
     vectors = embed(distinct, "_text_id", "question", DIMENSIONS)
     # k rows per distinct text, searched once whatever reads the hits
-    found = stage(top_k(vectors, index, k, "_text_id", "unique_event_id"), "similar")
+    found = stage(top_k(vectors, index, k, "_text_id", "unique_event_id", dim=DIMENSIONS), "similar")
     placed = texts.join(found, "_text_id").select(
         "question_id", "unique_event_id", F.col("rank").alias("place")
     )
@@ -53,7 +53,7 @@ def question_modes(questions: DataFrame) -> DataFrame:
 
 
 def answer_batch(
-    questions: DataFrame, documents: DataFrame, index: DataFrame, max_chars: int = MAX_CHARS
+    questions: DataFrame, documents: DataFrame, index: DataFrame
 ) -> DataFrame:
     """``question_id, mode, part, context, prompt`` for questions in plain text.
 
@@ -62,6 +62,6 @@ def answer_batch(
     """
     if "parsed" not in questions.columns:
         questions = stage(parse_questions(questions, storm_names(documents)), "parsed")
-    contexts = assemble_context(all_hits(questions, documents, index), max_chars)
+    contexts = assemble_context(all_hits(questions, documents, index))
     answered = answer_prompts(question_modes(questions), contexts)
     return answered.select("question_id", "mode", "part", "context", "prompt")

@@ -1,6 +1,7 @@
 """Bulletins to documents to the published table."""
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators.dedup import latest_observations
 from ..operators.documents import document_rows
@@ -31,6 +32,17 @@ def announced(feed: DataFrame, landed: DataFrame) -> DataFrame:
     return landed.join(links, "link", "left_semi")
 
 
-def ingest(spark: SparkSession, parsed: DataFrame, path: str, newest: str | None = None) -> None:
-    """Upsert the documents of parsed bulletins into the table at ``path``."""
+def ingest(
+    spark: SparkSession, parsed: DataFrame, path: str, newest: str | None = "Serial", quarantine: str | None = None
+) -> None:
+    """Upsert the documents of parsed bulletins into the table at ``path``.
+
+    A stored bulletin of a higher serial stays, as in the stream; ``newest=None`` lets the
+    source win. Rejected bulletins are appended to the table at ``quarantine``, with their reason
+    and payload, so that good and rejected ones together are all that landed. A batch
+    that is ingested again is recorded again.
+    """
+    if quarantine:
+        _, bad = split_quarantine(parsed)
+        bad.withColumn("ingested_at", F.current_timestamp()).write.mode("append").parquet(quarantine)
     upsert(spark, documents(parsed), path, newest)

@@ -1,12 +1,9 @@
 """Session settings and the shared work folder."""
 
-import tempfile
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local_base: dict[str, str] = {}
-
 
 def build_session(app: str = "stormlake", **conf: str) -> SparkSession:
     """A session with adaptive execution; anything else is left to the cluster."""
@@ -24,18 +21,14 @@ def build_session(app: str = "stormlake", **conf: str) -> SparkSession:
 def work_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the folder all executors share (``spark.checkpoint.dir``).
 
-    Only a local master may go without that setting; it then gets one temporary
-    folder per application.
+    A local master may go without that setting; it then uses a folder in the warehouse.
+    The folder is taken as named: a ``file:`` one may well be a mount that all machines share.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        context = spark.sparkContext
-        if not context.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        app = context.applicationId
-        if app not in _local_base:
-            _local_base[app] = tempfile.mkdtemp(prefix="stormlake-")
-        base = _local_base[app]
+        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work"
     return f"{base.rstrip('/')}/stormlake/{name}-{uuid4().hex}"
 
 
@@ -49,13 +42,3 @@ def stage(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataF
     path = work_path(spark, name)
     df.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def spread(scan: DataFrame) -> DataFrame:
-    """Split the rows of a small scan over all cores ahead of CPU-heavy work.
-
-    A scan with at least one partition per core, as any large table has, is returned as
-    it is, without a shuffle.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

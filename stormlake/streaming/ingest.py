@@ -14,6 +14,7 @@ def ingest_landed(
     checkpoint: str,
     per_line: bool = False,
     files_per_trigger: int | None = None,
+    quarantine: str | None = None,
 ) -> StreamingQuery:
     """Upsert everything that landed since the last run, then stop.
 
@@ -21,7 +22,7 @@ def ingest_landed(
     a higher serial, so neither a restart nor the order of arrival changes the result.
     """
     def merge(batch: DataFrame, _: int) -> None:
-        ingest(batch.sparkSession, batch, table, newest="Serial")
+        ingest(batch.sparkSession, batch, table, newest="Serial", quarantine=quarantine)
 
     bulletins = stream_bulletins(spark, landing, per_line, files_per_trigger)
     return (

@@ -9,13 +9,14 @@ from stormlake.session import build_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = build_session(
         "tests",
         spark__master="local[8]",
         spark__driver__memory="8g",
         spark__sql__shuffle__partitions="8",
         spark__ui__enabled="false",
+        spark__checkpoint__dir=str(tmp_path_factory.mktemp("work")),
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session

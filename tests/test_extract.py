@@ -224,4 +224,4 @@ def test_absent_name_is_null_in_the_table_and_unknown_in_the_text(spark):
 def test_unreadable_time(spark):
     doc = document(spark, bulletin(section("28 Aug 2024")))
     assert (doc.ObservationDate, doc.ObservationTime, doc.obs_jst) == ("Unknown", "Unknown", None)
-    assert doc.event_year == "28 A"
+    assert doc.event_year == "unknown"

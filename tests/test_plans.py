@@ -64,9 +64,12 @@ def test_batch_has_no_cross_join_and_reads_the_years_asked_for(spark, table):
     assert "dynamicpruning" in text
 
 
-def test_scan_of_a_table_with_enough_partitions_is_not_repartitioned(spark):
-    from stormlake.session import spread
-
-    wide = spark.range(0, 1000, 1, 64).withColumn("x", F.rand(1))
-    assert "Exchange" not in plan(spread(wide))
-    assert "Exchange" in plan(spread(spark.range(0, 10, 1, 1)))
+def test_a_month_and_a_year_take_the_same_plan_with_pruned_years(spark, table):
+    shapes = []
+    for parsed in ("Trami, 2024-01-05, 2024-02-05", "Trami, 2024-01-05, 2024-02-06", "Trami, None, 2024-02-06"):
+        questions = spark.createDataFrame([(1, "q", parsed)], "question_id long, question string, parsed string")
+        bounded, _ = resolve_questions(questions)
+        text = plan(match_questions(bounded, table))
+        assert "dynamicpruning" in text
+        shapes.append(re.findall(r"^[ :+*-]*\(?\d*\)? ?(\w+)", text.split("(1)")[0], re.M))
+    assert shapes[0] == shapes[1] == shapes[2]

@@ -42,6 +42,15 @@ def test_fewer_documents_than_k_and_no_queries(spark, vectors):
     assert top_k(queries.limit(0), vectors, 4, "qid", "id").count() == 0
 
 
+def test_odd_vectors_change_nothing_for_the_others(spark, vectors):
+    queries = vectors.where("id < 'd010'").select(F.col("id").alias("qid"), "embedding")
+    alone = sorted(map(tuple, top_k(queries, vectors, 4, "qid", "id").select("qid", "id", "rank").collect()))
+    odd = spark.createDataFrame([("long", [1.0] * 17), ("zero", [0.0] * 16), ("none", None)], "qid string, embedding array<double>")
+    odd = odd.withColumn("embedding", F.col("embedding").cast(vectors.schema["embedding"].dataType))
+    mixed = top_k(queries.unionByName(odd), vectors, 4, "qid", "id")
+    assert sorted(map(tuple, mixed.select("qid", "id", "rank").collect())) == alone
+
+
 def test_nearest_equals_top_k(vectors):
     query = vectors.where("id = 'd042'").first().embedding
     queries = vectors.where("id = 'd042'").select(F.col("id").alias("qid"), "embedding")
