@@ -212,6 +212,8 @@ def search_index(index: DataFrame, windows: DataFrame, slack: int = 0, block_win
         def matched(batches, shared=shared):
             block = None
             for batch in batches:
+                if not shared.value[0]:
+                    continue
                 block = block or _Block(*shared.value)
                 for i in range(batch.num_rows):
                     terms = np.frombuffer(batch.column("terms")[i].as_py(), np.uint64)
