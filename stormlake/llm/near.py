@@ -9,7 +9,8 @@ dropped with a margin of 4.5 standard errors; the rest is confirmed on the full
 Copies are one row from the start (equal sets have equal digests). Within a band no list of all pairs is
 made: first every member meets the smallest member only. Where the confirmed links have not
 joined a band's members into one component, those outside its largest component meet a few members of it, picked by
-hash, and only who is still outside then meets the others. A pair that is skipped is one that is already connected, so components are whole.
+hash, and only who is still outside then meets the others, by a finer sketch that only these members get: four times the samples and bits,
+so half the standard error and half the margin. A pair that is skipped is one that is already connected, so components are whole.
 """
 
 from __future__ import annotations
@@ -33,14 +34,18 @@ HASHES = 2 * BANDS * ROWS
 SKETCH_BITS = 1024
 #: sketch estimates may fall short of the threshold by this much: 4.5 standard errors
 MARGIN = 0.12
+#: the finer sketch has so many times the samples and bits
+FINER = 4
 #: members of a band's largest component that each outsider meets before it meets all
 HUBS = 6
 _CHUNK = 1 << 20
+#: sets signed at once, which bounds the table of their samples
+_BLOCK = 1024
 
 
-def _hash_numbers() -> tuple[np.ndarray, np.ndarray]:
+def _hash_numbers(count: int = HASHES) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(20140405)
-    return rng.integers(0, 1 << 32, HASHES, dtype=np.uint32) | np.uint32(1), rng.integers(0, 1 << 32, HASHES, dtype=np.uint32)
+    return rng.integers(0, 1 << 32, count, dtype=np.uint32) | np.uint32(1), rng.integers(0, 1 << 32, count, dtype=np.uint32)
 
 
 def shingle_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -72,30 +77,76 @@ def shingle_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     return values, np.searchsorted(rows, np.arange(len(counts) + 1))
 
 
-def _signatures(values: np.ndarray, first: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Band keys and odd sketches of non-empty sets, a row each."""
+def _samples(values: np.ndarray, first: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """MinHash samples of non-empty sets, a column each."""
     small = (values >> np.uint64(32)).astype(np.uint32)
-    n = len(first) - 1
-    lows = np.empty((len(a), n), dtype=np.uint32)
+    lows = np.empty((len(a), len(first) - 1), dtype=np.uint32)
     with np.errstate(over="ignore"):
         for i in range(len(a)):
             lows[i] = np.minimum.reduceat(small * a[i] + b[i], first[:-1])
-        bands = np.empty((n, BANDS), dtype=np.int64)
+    return lows
+
+
+def _odd_sketches(lows: np.ndarray, n_bits: int) -> np.ndarray:
+    """Every sample of a set flips one bit of its bitmap."""
+    n = lows.shape[1]
+    with np.errstate(over="ignore"):
+        spots = mixed(lows.astype(np.uint64) + (np.arange(len(lows), dtype=np.uint64)[:, None] << np.uint64(33))) % np.uint64(n_bits)
+    flat = (np.arange(n, dtype=np.int64)[None, :] * n_bits + spots.astype(np.int64)).ravel()
+    odd = (np.bincount(flat, minlength=n * n_bits) & 1).astype(np.uint8).reshape(n, n_bits)
+    return np.packbits(odd, axis=1).view(np.int64)
+
+
+def _band_keys(lows: np.ndarray) -> np.ndarray:
+    bands = np.empty((lows.shape[1], BANDS), dtype=np.int64)
+    with np.errstate(over="ignore"):
         for band in range(BANDS):
-            key = np.full(n, band + 1, dtype=np.uint64)
+            key = np.full(lows.shape[1], band + 1, dtype=np.uint64)
             for i in range(band * ROWS, (band + 1) * ROWS):
                 key = mixed(key + lows[i])
             bands[:, band] = key.view(np.int64)
-        spots = mixed(lows.astype(np.uint64) + (np.arange(len(a), dtype=np.uint64)[:, None] << np.uint64(33))) % np.uint64(SKETCH_BITS)
-    flat = (np.arange(n, dtype=np.int64)[None, :] * SKETCH_BITS + spots.astype(np.int64)).ravel()
-    odd = (np.bincount(flat, minlength=n * SKETCH_BITS) & 1).astype(np.uint8).reshape(n, SKETCH_BITS)
-    return bands, np.packbits(odd, axis=1).view(np.int64)
+    return bands
+
 
+def _blocks(values: np.ndarray, first: np.ndarray):
+    """Values and bounds of at most ``_BLOCK`` sets at a time."""
+    for at in range(0, len(first) - 1, _BLOCK):
+        bounds = first[at : at + _BLOCK + 1]
+        yield values[bounds[0] : bounds[-1]], bounds - bounds[0]
 
-def furthest(threshold: float) -> int:
+
+def _signatures(values: np.ndarray, first: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Band keys and odd sketches of non-empty sets, a row each."""
+    lows = [_samples(*block, a, b) for block in _blocks(values, first)]
+    return np.concatenate([_band_keys(x) for x in lows]), np.concatenate([_odd_sketches(x, SKETCH_BITS) for x in lows])
+
+
+def fine_sketches(texts: DataFrame, n: int) -> DataFrame:
+    """``node, sketch, fine`` of every text that has a word; ``fine`` has ``FINER`` times the samples and bits."""
+    n_bits = FINER * SKETCH_BITS
+
+    def sketched(batches):
+        a, b = _hash_numbers(FINER * HASHES)
+        for batch in chunks(batches, "text", _CHUNK):
+            values, first = shingle_sets(batch.column("text"), n)
+            full = np.flatnonzero(np.diff(first))
+            for at in range(0, len(full), _BLOCK):
+                rows = full[at : at + _BLOCK]
+                bounds = np.append(first[rows], first[rows[-1] + 1])
+                lows = _samples(values[bounds[0] : bounds[-1]], bounds - bounds[0], a, b)
+                sketches = [_odd_sketches(lows[:HASHES], SKETCH_BITS), _odd_sketches(lows, n_bits)]
+                lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1) * m.shape[1], pa.int32()), pa.array(m.ravel())) for m in sketches]
+                yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(rows)), *lists], names=["node", "sketch", "fine"])
+
+    kind = texts.schema["node"].dataType.simpleString()
+    return texts.select("node", "text").mapInArrow(sketched, f"node {kind}, sketch array<bigint>, fine array<bigint>")
+
+
+def furthest(threshold: float, finer: int = 1) -> int:
     """Most differing sketch bits of a pair that is still confirmed on its sets."""
-    differing = HASHES * (1 - max(0.0, threshold - MARGIN))
-    return math.ceil(SKETCH_BITS / 2 * (1 - math.exp(-4 * differing / SKETCH_BITS)))
+    hashes, n_bits = finer * HASHES, finer * SKETCH_BITS
+    differing = hashes * (1 - max(0.0, threshold - MARGIN / math.sqrt(finer)))
+    return math.ceil(n_bits / 2 * (1 - math.exp(-4 * differing / n_bits)))
 
 
 def sign(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
@@ -164,6 +215,11 @@ def _apart(one: str, other: str):
     return total
 
 
+def _fine_apart(one: str, other: str):
+    """The same of two fine sketches; so many terms written out would be too long a method for the JIT compiler."""
+    return F.aggregate(F.zip_with(one, other, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
+
+
 def _with(roots: DataFrame, more: DataFrame) -> DataFrame:
     return roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)
 
@@ -234,15 +290,18 @@ def near_duplicates(
     )
     roots = connected_components(_with(roots, confirm(alike(met), texts, n, percent)), "a", "b")
 
-    rest = stage(_unjoined(members, roots).join(sketches, "node"), "near-rest")
+    rest = _unjoined(members, roots)
+    fine = stage(fine_sketches(texts.join(rest.select("node").distinct(), "node", "left_semi"), n), "near-fine")
+    rest = stage(rest.join(fine, "node"), "near-rest")
     outside = rest.where(F.col("root") != F.col("largest"))
-    one = outside.select("band", F.col("node").alias("x"), F.col("root").alias("root_x"), F.col("sketch").alias("sketch_x"), "largest")
-    other = rest.select("band", F.col("node").alias("y"), F.col("root").alias("root_y"), F.col("sketch").alias("sketch_y"))
+    one = outside.select("band", F.col("node").alias("x"), F.col("root").alias("root_x"), F.col("sketch").alias("sketch_x"), F.col("fine").alias("fine_x"), "largest")
+    other = rest.select("band", F.col("node").alias("y"), F.col("root").alias("root_y"), F.col("sketch").alias("sketch_y"), F.col("fine").alias("fine_y"))
     crossed = (
         one.join(other, "band")
         # two outsiders meet once, an outsider meets each member of the largest component
         .where((F.col("root_x") < F.col("root_y")) | ((F.col("root_x") > F.col("root_y")) & (F.col("root_y") == F.col("largest"))))
-        .where(_apart("sketch_x", "sketch_y") <= limit)
+        # most pairs end at the short sketch
+        .where((_apart("sketch_x", "sketch_y") <= limit) & (_fine_apart("fine_x", "fine_y") <= furthest(percent / 100, FINER)))
         .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         .distinct()
     )
