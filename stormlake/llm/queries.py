@@ -4,6 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from public_tokenizers import path as tokenizer_path
 
 from stormlake.llm.ann import build_lists, search_lists
 from stormlake.llm.decontaminate import find_contamination
@@ -13,6 +14,7 @@ from stormlake.llm.line_dedup import dedup_lines
 from stormlake.llm.mixing import plan_mix, take_mix, token_count
 from stormlake.llm.near import near_duplicates
 from stormlake.llm.quality import fit_quality, rate_quality
+from stormlake.llm.sequences import pack_documents
 from stormlake.llm.substring import remove_repeats
 from stormlake.llm.url_filter import judge_urls
 from stormlake.session import stage
@@ -140,3 +142,12 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the passages that a document of smaller id has."""
     found = remove_repeats(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document, in sequences of 1024 tokens or a power of two."""
+    pieces = pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
