@@ -139,4 +139,26 @@ _SQL: dict[str, str] = {
             FROM all_words a ANTI JOIN gone g ON a.doc_id = g.doc_id AND a.pos = g.pos GROUP BY a.doc_id)
         SELECT d.doc_id, len(d.w) AS n_words, len(d.w) - coalesce(k.n, 0) AS n_removed, sha256(coalesce(k.kept_text, '')) AS kept_sha256
         FROM d LEFT JOIN kept k USING (doc_id)""",
+    "op13_lexical": rf"""
+        WITH d AS (
+            SELECT row_number() OVER () AS place, doc_id,
+                   regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+            FROM documents),
+        b AS (
+            SELECT row_number() OVER () AS item, item_id,
+                   regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+            FROM benchmark),
+        wanted AS (SELECT item, item_id, term, count(*) AS q FROM (SELECT item, item_id, unnest(w) AS term FROM b) GROUP BY item, item_id, term),
+        sums AS (SELECT count(*) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS total FROM d WHERE len(w) > 0),
+        tfs AS (
+            SELECT place, doc_id, n, term, count(*) AS tf
+            FROM (SELECT place, doc_id, len(w) AS n, unnest(w) AS term FROM d) GROUP BY place, doc_id, n, term),
+        dfs AS (SELECT term, count(*) AS df FROM tfs GROUP BY term),
+        weights AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1))) AS BIGINT) AS w FROM dfs, sums),
+        scores AS (
+            SELECT item, item_id, place, doc_id, CAST(sum(q * x.w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // total)))) AS BIGINT) AS score
+            FROM wanted JOIN tfs USING (term) JOIN weights x USING (term), sums GROUP BY item, item_id, place, doc_id)
+        SELECT item_id, CAST(row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score
+        FROM scores WHERE score > 0
+        QUALIFY row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) <= 10""",
 }

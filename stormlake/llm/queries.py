@@ -10,6 +10,7 @@ from stormlake.llm.ann import build_lists, search_lists
 from stormlake.llm.decontaminate import find_contamination
 from stormlake.llm.html_text import extract_text
 from stormlake.llm.language import fit_language, identify
+from stormlake.llm.lexical import search_ranked
 from stormlake.llm.line_dedup import dedup_lines
 from stormlake.llm.mixing import plan_mix, take_mix, token_count
 from stormlake.llm.near import near_duplicates
@@ -151,3 +152,9 @@ def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
     )
+
+
+@query
+def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten documents that score highest for each benchmark item."""
+    return search_ranked(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
