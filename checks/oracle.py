@@ -363,7 +363,17 @@ FROM best b JOIN embeddings e ON e.vec_id = b.vec_id""",
         + """SELECT question_id, CASE WHEN form = 5 THEN 'NONE' ELSE nn END AS name,
   CASE WHEN form IN (0, 1, 6) THEN CAST(d AS TIMESTAMP) WHEN form = 2 THEN d + INTERVAL 12 HOUR END AS "start",
   CASE WHEN form IN (1, 6) THEN CAST(d + 1 AS TIMESTAMP) WHEN form = 3 THEN CAST(d AS TIMESTAMP) END AS "end",
-  CAST(CASE WHEN form = 6 THEN 4 ELSE 3 END AS INTEGER) AS n_parts FROM q""",
+  CAST(CASE WHEN form = 6 THEN 4 ELSE 3 END AS INTEGER) AS n_parts FROM q
+UNION ALL
+SELECT question_id + 1000000, nn, CASE (question_id + 1000000) % 12
+    WHEN 0 THEN CAST(d AS TIMESTAMP) WHEN 1 THEN CAST(d AS TIMESTAMP) WHEN 2 THEN d + INTERVAL 1110 MINUTE WHEN 3 THEN CAST(d AS TIMESTAMP)
+    WHEN 4 THEN CAST(date_trunc('month', d) AS TIMESTAMP) WHEN 5 THEN CAST(date_trunc('month', d) AS TIMESTAMP)
+    WHEN 6 THEN CAST(d + 1 AS TIMESTAMP) WHEN 7 THEN CAST(d AS TIMESTAMP) WHEN 9 THEN d + INTERVAL 13 HOUR WHEN 11 THEN CAST(d AS TIMESTAMP) END,
+  CASE (question_id + 1000000) % 12
+    WHEN 3 THEN CAST(d + 1 AS TIMESTAMP) WHEN 4 THEN CAST(d AS TIMESTAMP) WHEN 5 THEN CAST(d AS TIMESTAMP)
+    WHEN 6 THEN TIMESTAMP '9999-12-31 23:59:59' WHEN 7 THEN TIMESTAMP '9999-12-31 23:59:59'
+    WHEN 8 THEN d - INTERVAL 1 SECOND WHEN 11 THEN (d + 1) + INTERVAL 1275 MINUTE END,
+  CAST(CASE WHEN (question_id + 1000000) % 12 = 10 THEN 2 ELSE 3 END AS INTEGER) FROM q""",
         "question_gate": _with(_RAW, _DOCS, _QUESTIONS)
         + r"""SELECT question_id, parsed, regexp_full_match(parsed,
   '(None|[\w\s]+), (None|\d{4}-\d{2}-\d{2}(T\d{2}:\d{2}:\d{2})?)?(, (''''|None|\d{4}-\d{2}-\d{2}(T\d{2}:\d{2}:\d{2})?))?') AS gate_ok FROM q""",

@@ -428,8 +428,8 @@ def similarity_ann(spark, sf):
 @query("question_parse")
 def question_parse(spark, sf):
     docs = _document_table(spark, sf)
-    asked = _questions(docs)
-    parsed = parse_questions(asked.select("question_id", "question"), storm_names(docs))
+    asked = _questions(docs).select("question_id", "question").unionByName(stage(fx.worded_questions(docs), "wordings"))
+    parsed = parse_questions(asked, storm_names(docs))
     split = question_times(split_parsed(parsed))
     return split.select("question_id", "name", "start", "end", F.size(F.split("parsed", ", ")).alias("n_parts"))
 

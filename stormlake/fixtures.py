@@ -215,3 +215,45 @@ def questions(documents: DataFrame) -> DataFrame:
         return column
 
     return numbered.select("question_id", choose(0).alias("question"), choose(1).alias("parsed"))
+
+
+def worded_questions(documents: DataFrame) -> DataFrame:
+    """One question per named storm and calendar day, its date worded in one of twelve other ways.
+
+    ``question_id, question``; ids go on from a million.
+    """
+    plain = questions(documents)
+    names = {"KONG-REY": "Kong Rey", "SHANSHAN": "typhoon Shanshan", "TRAMI": "Trami"}
+    days = (
+        documents.where(F.col("TyphoonName").isNotNull() & F.col("obs_jst").isNotNull())
+        .select("TyphoonName", F.col("obs_jst").cast("date").alias("d"))
+        .distinct()
+    )
+    shown = F.element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), F.col("TyphoonName"))
+    number = F.unix_date("d") * 3 + F.array_position(F.array(*[F.lit(n) for n in names]), F.col("TyphoonName")) - 1
+    numbered = days.select((number + 1_000_000).cast(plain.schema["question_id"].dataType).alias("question_id"), shown.alias("n"), "d")
+    month, short = F.date_format("d", "MMMM"), F.date_format("d", "MMM")
+    day, year, later = F.day("d"), F.year("d").cast("string"), F.date_add("d", 1)
+    suffix = F.when(day.isin(11, 12, 13), "th").when(day % 10 == 1, "st").when(day % 10 == 2, "nd").when(day % 10 == 3, "rd").otherwise("th")
+    number_of = day.cast("string")
+    spoken = _text(number_of, " ", short, " ", year)
+    n, tomorrow = F.col("n"), F.date_format(later, "d MMM yyyy")
+    forms = [
+        _text("Where was ", n, " on ", F.col("d").cast("string"), "?"),
+        _text("Where was ", n, " on ", month, " ", number_of, ", ", year, "?"),
+        _text("Where was ", n, " on ", number_of, suffix, " ", short, " ", year, " at 18:30?"),
+        _text("What was the path of ", n, " from ", number_of, " ", short, " to ", tomorrow, "?"),
+        _text("What was the path of ", n, " from 1st to ", number_of, suffix, " of ", month, " ", year, "?"),
+        _text("What was the path of ", n, " from ", month, " 1 to ", number_of, ", ", year, "?"),
+        _text("Where did ", n, " go after ", spoken, "?"),
+        _text("Where did ", n, " go since ", spoken, " until now?"),
+        _text("Where had ", n, " been before ", spoken, "?"),
+        _text("At 1pm on ", spoken, ", where was ", n, "?"),
+        _text("How strong was ", n, " in ", month, " ", year, "?"),
+        _text("How strong was ", n, " between ", spoken, " and ", tomorrow, " 9:15 pm?"),
+    ]
+    form = F.col("question_id") % len(forms)
+    chosen = F.when(form == 0, forms[0])
+    for at, text in enumerate(forms[1:], 1):
+        chosen = chosen.when(form == at, text)
+    return numbered.select("question_id", chosen.alias("question"))

@@ -11,7 +11,8 @@ def normal_name(name: Column) -> Column:
 
 
 def without_hyphen(name: Column) -> Column:
-    return F.replace(name, F.lit("-"), F.lit(""))
+    """Without hyphens and apostrophes: a question's words have neither."""
+    return F.regexp_replace(name, "[-'’]", "")
 
 
 def without_spaces(name: Column) -> Column:

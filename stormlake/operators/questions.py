@@ -6,55 +6,13 @@ from pyspark.sql import functions as F
 from ..constants import QUESTION_GATE
 from ..functions.names import normal_name
 from ..functions.times import lenient_time
-
-_MONTHS = "Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec".split()
-# "[to [the] end of] D Mon YYYY [[at] h[:mm[:ss]] [am|pm]]"; a clock needs minutes or am/pm
-_MOMENT = (
-    r"(?i)((?:to|until|till) (?:the )?end of )?\b(\d{1,2}) ("
-    + "|".join(_MONTHS)
-    + r")[a-z]* (\d{4})(?:,? (?:at )?(?:(\d{1,2}):(\d{2})(?::(\d{2}))? ?(am|pm)?|(\d{1,2}) ?(am|pm))\b)?"
-)
-_UP_TO = r"(?i)\b(?:up to|until|till)\b"
-
+from .dates import question_moments, start_and_end
 
 def storm_names(documents: DataFrame) -> DataFrame:
     """The distinct storm names of a corpus; counted map-side, a few rows per task."""
     return documents.where(F.col("TyphoonName").isNotNull()).select("TyphoonName").distinct()
 
 
-def _groups(text: Column) -> Column:
-    """The parts of one matched moment; absent ones are null."""
-    def part(group: int) -> Column:
-        return F.nullif(F.regexp_extract(text, _MOMENT, group), F.lit(""))
-
-    return F.struct(
-        part(1).alias("end_of"),
-        part(2).alias("day"),
-        F.initcap(part(3)).alias("month"),
-        part(4).alias("year"),
-        F.coalesce(part(5), part(9)).try_cast("int").alias("hour"),
-        F.coalesce(part(6), F.lit("00")).alias("minute"),
-        F.coalesce(part(7), F.lit("00")).alias("second"),
-        F.lower(F.coalesce(part(8), part(10))).alias("half"),
-    )
-
-
-def _moment(groups: Column) -> Column:
-    """ISO date or date-time of the parts of a moment."""
-    months = F.array(*[F.lit(m) for m in _MONTHS])
-    month = F.lpad(F.array_position(months, groups["month"]).cast("string"), 2, "0")
-    date = F.concat_ws("-", groups["year"], month, F.lpad(groups["day"], 2, "0"))
-    hour, half = groups["hour"], groups["half"]
-    on_24 = F.when(half.isNull(), hour).when(
-        hour.between(1, 12), hour % 12 + F.when(half == "pm", 12).otherwise(0)
-    )
-    clock = F.concat_ws(
-        ":", F.lpad(on_24.cast("string"), 2, "0"), groups["minute"], groups["second"]
-    )
-    end_of_day = F.when(hour.isNull() & groups["end_of"].isNotNull(), F.lit("23:59:00"))
-    return F.concat_ws("T", date, F.when(on_24.isNotNull(), clock).otherwise(end_of_day))
-
-
 def _grams(words: Column, longest: int) -> Column:
     """All runs of one to ``longest`` words as (position, length, text)."""
     def run(position: Column, length: Column) -> Column:
@@ -69,8 +27,8 @@ def _grams(words: Column, longest: int) -> Column:
 
 
 def _name_key(name: Column) -> Column:
-    """Upper case without spaces and hyphens: the form names are compared in."""
-    return F.regexp_replace(F.upper(name), r"[\s-]+", "")
+    """Upper case, letters and digits only: the form names are compared in."""
+    return F.regexp_replace(F.upper(name), r"(?U)[^\w]+", "")
 
 
 def find_names(questions: DataFrame, names: DataFrame) -> DataFrame:
@@ -96,23 +54,14 @@ def find_names(questions: DataFrame, names: DataFrame) -> DataFrame:
 def parse_questions(questions: DataFrame, names: DataFrame) -> DataFrame:
     """Add ``parsed``: ``name, start, end`` in the form the gate expects.
 
-    One moment is the start, or the end after "up to" or "until". More than two moments
-    are all listed, which the gate then rejects.
+    Dates and their roles are those of ``dates.question_moments``. More than two moments are all
+    listed, and a date that is not understood reads ``?``: the gate rejects both.
     """
-    matched = F.regexp_extract_all("question", F.lit(_MOMENT), 0)
-    moments = F.transform(F.transform(matched, _groups), _moment)
-    found = questions.join(find_names(questions, names), "question_id", "left").withColumn(
-        "_moments", moments
-    )
-    none = F.lit("None")
-    times = (
-        F.when(F.size("_moments") >= 2, F.col("_moments"))
-        .when(F.size("_moments") == 0, F.array(none, none))
-        .when(F.col("question").rlike(_UP_TO), F.array(none, F.col("_moments")[0]))
-        .otherwise(F.array(F.col("_moments")[0], none))
-    )
-    parts = F.concat(F.array(F.coalesce("name", none)), times)
-    return found.select(*questions.columns, F.array_join(parts, ", ").alias("parsed"))
+    found = questions.join(find_names(questions, names), "question_id", "left")
+    dated = found.withColumn("_dates", question_moments("question"))
+    times = F.when(F.col("_dates.unclear"), F.array(F.lit("?"))).otherwise(start_and_end(F.col("_dates.moments")))
+    parts = F.concat(F.array(F.coalesce("name", F.lit("None"))), times)
+    return dated.select(*questions.columns, F.array_join(parts, ", ").alias("parsed"))
 
 
 def gate(questions: DataFrame) -> DataFrame:
