@@ -371,7 +371,7 @@ SELECT question_id + 1000000, nn, CASE (question_id + 1000000) % 12
     WHEN 6 THEN CAST(d + 1 AS TIMESTAMP) WHEN 7 THEN CAST(d AS TIMESTAMP) WHEN 9 THEN d + INTERVAL 13 HOUR WHEN 11 THEN CAST(d AS TIMESTAMP) END,
   CASE (question_id + 1000000) % 12
     WHEN 3 THEN CAST(d + 1 AS TIMESTAMP) WHEN 4 THEN CAST(d AS TIMESTAMP) WHEN 5 THEN CAST(d AS TIMESTAMP)
-    WHEN 6 THEN TIMESTAMP '9999-12-31 23:59:59' WHEN 7 THEN TIMESTAMP '9999-12-31 23:59:59'
+    WHEN 6 THEN TIMESTAMP '2199-12-31 23:59:59' WHEN 7 THEN TIMESTAMP '2199-12-31 23:59:59'
     WHEN 8 THEN d - INTERVAL 1 SECOND WHEN 11 THEN (d + 1) + INTERVAL 1275 MINUTE END,
   CAST(CASE WHEN (question_id + 1000000) % 12 = 10 THEN 2 ELSE 3 END AS INTEGER) FROM q""",
         "question_gate": _with(_RAW, _DOCS, _QUESTIONS)

@@ -38,8 +38,8 @@ _UNCLEAR = ("yesterday", "tomorrow", "tonight")
 _FIELDS = {"role": "string", "end_of": "boolean", "day": "int", "month": "int", "year": "int", "clock": "int", "unclear": "boolean", "present": "boolean"}
 _PARTS = f"array<struct<{','.join(f'{name}:{kind}' for name, kind in _FIELDS.items())}>>"
 
-#: the end of a window that has none
-OPEN_END = "9999-12-31T23:59:59"
+#: the end of a window that has none; far off, but a time that 64-bit nanoseconds hold
+OPEN_END = "2199-12-31T23:59:59"
 
 
 def _texts(values) -> str:

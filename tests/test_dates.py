@@ -5,7 +5,7 @@ import pytest
 from stormlake.operators.questions import find_names, parse_questions, resolve_questions
 from stormlake.operators.retrieve import match_names
 
-OPEN = "9999-12-31T23:59:59"
+OPEN = "2199-12-31T23:59:59"
 
 WORDINGS = [
     # one day
