@@ -7,7 +7,7 @@ of its ends is sought in the longer one from where the last was found, first in
 Many stretches of many documents take their steps at the same time, as one array. Between common
 places the differences of ranks are the numbers of tokens of a group on either side.
 
-``align`` gives every document its groups and its linked id pairs, ``score_links`` then counts in
+``align_chunks`` gives every document its groups and its linked id pairs, ``score_links`` then counts in
 how many documents of the corpus each pair is linked. For that the pairs of some documents, a chunk, are
 joined into one list of distinct pairs; only these are shuffled, as plain rows summed by Spark, and come back to their
 chunk. A chunk holds about ``CHUNK_PAIRS`` pairs, or those of one document.
@@ -28,8 +28,8 @@ from stormlake.llm.tokens import ByteBpe, Encoder, PieceBpe, Segments, ranges, w
 from stormlake.llm.words import chunks
 from stormlake.session import stage
 
-CHUNK_PAIRS = 2_000_000
-_CHUNK_BYTES = 1 << 20
+CHUNK_PAIRS = 250_000
+_CHUNK_BYTES = 1 << 19
 #: ends that one stretch of a driving list has
 _STRETCH = 64
 #: links that are written out at a time
@@ -209,12 +209,16 @@ def _summed(code: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return code[new], np.add.reduceat(often, new)
 
 
-def align(docs: DataFrame, byte_bpe: str, piece_bpe: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key, n_a, n_b, n_groups, n_links, groups, codes, times`` for every row of ``docs``.
+def align_chunks(
+    docs: DataFrame, byte_bpe: str, piece_bpe: str, key: str = "doc_id", text: str = "text", chunk_pairs: int = CHUNK_PAIRS
+) -> DataFrame:
+    """``chunk, docs`` and the chunk's packed links: ``codes, held, sizes, place, times``.
 
+    ``docs`` has a struct ``key, n_a, n_b, n_groups, n_links, groups`` for every document of the chunk.
     ``groups`` reads ``a1,a2|b1;a3|b2,b3``, ids in the order of the text; ``n_links`` counts the pairs of a token
-    of A and one of B in the same group, ``codes`` has their distinct ids (``a << 32 | b``) and ``times`` how
-    often each is linked, as byte planes of 64-bit numbers. The two paths are read on the driver.
+    of A and one of B in the same group. ``codes`` are the distinct linked ids of the chunk (``a << 32 | b``), ``held`` says
+    in how many of its documents each is linked; each document has ``sizes`` of them, at ``place``
+    in that list and linked ``times`` often. The two paths are read on the driver.
 
     Texts that are null or empty, and those whose tokens' bytes of either side joined are not a space and the text,
     have no tokens: zeros, and an empty ``groups``. Strings of special tokens are plain text. Every row
@@ -226,105 +230,97 @@ def align(docs: DataFrame, byte_bpe: str, piece_bpe: str, key: str = "doc_id", t
         with open(name, "rb") as file:
             files.append(file.read())
     raw = context.broadcast(files)
-    numbers = ("n_a", "n_b", "n_groups", "n_links")
+    fields = [
+        T.StructField(key, docs.schema[key].dataType), *(T.StructField(n, T.LongType()) for n in ("n_a", "n_b", "n_groups", "n_links")),
+        T.StructField("groups", T.StringType()),
+    ]
     schema = T.StructType([
-        T.StructField(key, docs.schema[key].dataType), *(T.StructField(n, T.LongType()) for n in numbers),
-        T.StructField("groups", T.StringType()), T.StructField("codes", T.BinaryType()), T.StructField("times", T.BinaryType()),
+        T.StructField("chunk", T.LongType()), T.StructField("docs", T.ArrayType(T.StructType(fields))),
+        *(T.StructField(name, T.BinaryType()) for name in ("codes", "held", "sizes", "place", "times")),
     ])
 
+    def chunk(number: int, parts: list) -> pa.RecordBatch:
+        held = pa.concat_arrays([docs for docs, _ in parts])
+        pairs = [pair for _, found in parts for pair in found]
+        codes = np.concatenate([code for code, _ in pairs])
+        distinct, place, times_held = np.unique(codes, return_inverse=True, return_counts=True)
+        sizes = np.array([len(code) for code, _ in pairs], np.int32)
+        packed = (distinct, times_held.astype(np.int32), sizes, place.ravel().astype(np.int32), np.concatenate([often for _, often in pairs]))
+        rows = pa.ListArray.from_arrays(np.array([0, len(held)], np.int32), held)
+        return pa.RecordBatch.from_arrays([pa.array([number]), rows, *(pa.array([planes(x)], pa.binary()) for x in packed)], names=schema.names)
+
     def aligned(batches):
         a = worker_kept(("align a", hash(raw.value[0])), lambda: Encoder(ByteBpe(raw.value[0], special=False)))
         b = worker_kept(("align b", hash(raw.value[1])), lambda: Encoder(PieceBpe(raw.value[1])))
+        number, waiting, parts = TaskContext.get().partitionId() << 32, 0, []
         for batch in chunks(batches, "text", _CHUNK_BYTES):
             made = _Aligned(batch.column("text"), a, b)
             links = np.concatenate([[0], np.cumsum(made.n_a * made.n_b)])[made.group_first]
             pairs = [made.pairs(doc) for doc in range(batch.num_rows)]
             columns = [
-                batch.column("key"), pa.array(np.diff(made.a_first)), pa.array(np.diff(made.b_first)), pa.array(np.diff(made.group_first)),
-                pa.array(np.diff(links)), made.group_strings(),
-                pa.array([planes(code) for code, _ in pairs], pa.binary()), pa.array([planes(often) for _, often in pairs], pa.binary()),
+                batch.column("key"), *(pa.array(np.diff(x)) for x in (made.a_first, made.b_first, made.group_first, links)),
+                made.group_strings().cast(pa.string()),
             ]
-            yield pa.RecordBatch.from_arrays([c.cast(pa.string()) if c.type == pa.large_string() else c for c in columns], names=schema.names)
+            parts.append((pa.StructArray.from_arrays(columns, names=[f.name for f in fields]), pairs))
+            waiting += sum(len(code) for code, _ in pairs)
+            if waiting >= chunk_pairs:
+                yield chunk(number, parts)
+                number, waiting, parts = number + 1, 0, []
+        if parts:
+            yield chunk(number, parts)
 
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     return rows.mapInArrow(aligned, schema)
 
 
-def score_links(aligned: DataFrame, chunk_pairs: int = CHUNK_PAIRS) -> DataFrame:
-    """``aligned`` without its pairs, with ``n_best`` and ``count_sum``; other columns stay.
+def align(docs: DataFrame, byte_bpe: str, piece_bpe: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key, n_a, n_b, n_groups, n_links, groups`` for every row of ``docs``, as ``align_chunks`` has them."""
+    return align_chunks(docs, byte_bpe, piece_bpe, key, text).select(F.inline("docs"))
 
-    A pair's count is the number of rows of ``aligned`` that hold it linked; ``count_sum`` adds the counts of a
-    row's links, ``n_best`` counts those links whose count is the highest of any pair with the same id of A.
-    Rows without links have zeros.
-    """
-    carried = [field for field in aligned.schema if field.name not in ("codes", "times")]
-    lists = [T.StructField(f"c{i}", T.ArrayType(field.dataType)) for i, field in enumerate(carried)]
-    schema = T.StructType([
-        T.StructField("chunk", T.LongType()), *lists,
-        *(T.StructField(name, T.BinaryType()) for name in ("sizes", "place", "times", "codes", "docs")),
-    ])
-    names = [field.name for field in carried]
 
-    def chunked(batches):
-        number = TaskContext.get().partitionId() << 32
-        for batch in batches:
-            sizes = pc.divide(pc.binary_length(batch.column("codes")), 8).to_numpy()
-            upto = np.concatenate([[0], np.cumsum(sizes.astype(np.int64))])
-            begin = 0
-            while begin < batch.num_rows:
-                stop = max(begin + 1, int(np.searchsorted(upto, upto[begin] + chunk_pairs, side="right")) - 1)
-                part = batch.slice(begin, stop - begin)
-                codes = _unpacked(part.column("codes"))
-                times = _unpacked(part.column("times"))
-                distinct, place, held = np.unique(codes, return_inverse=True, return_counts=True)
-                span = np.array([0, part.num_rows], np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([number]), *(pa.ListArray.from_arrays(span, part.column(name)) for name in names),
-                        *(pa.array([planes(x)]) for x in (sizes[begin:stop].astype(np.int32), place.ravel().astype(np.int32), times, distinct, held.astype(np.int32))),
-                    ],
-                    names=schema.names,
-                )
-                number += 1
-                begin = stop
+def score_links(chunked: DataFrame) -> DataFrame:
+    """The documents of all chunks with ``n_best`` and ``count_sum``; their other fields may be any.
+
+    A pair's count is the number of documents of all chunks that hold it linked; ``count_sum`` adds the counts of a
+    document's links, ``n_best`` counts those links whose count is the highest of any pair with the same id of A.
+    Documents without links have zeros.
+    """
+    fields = chunked.schema["docs"].dataType.elementType.fields
 
     def opened(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 codes = from_planes(batch.column("codes")[i].as_py(), np.int64)
-                held = from_planes(batch.column("docs")[i].as_py(), np.int32).astype(np.int64)
-                chunk = np.full(len(codes), batch.column("chunk")[i].as_py())
+                held = from_planes(batch.column("held")[i].as_py(), np.int32).astype(np.int64)
+                number = np.full(len(codes), batch.column("chunk")[i].as_py())
                 for at in range(0, len(codes), 1 << 16):
                     cut = slice(at, at + (1 << 16))
-                    yield pa.RecordBatch.from_arrays([pa.array(x[cut]) for x in (chunk, codes, held)], names=["chunk", "code", "held"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x[cut]) for x in (number, codes, held)], names=["chunk", "code", "held"])
 
-    packed = stage(aligned.mapInArrow(chunked, schema), "link-chunks")
-    wanted = packed.select("chunk", "codes", "docs").mapInArrow(opened, "chunk long, code long, held long")
+    packed = stage(chunked, "link-chunks")
+    wanted = packed.select("chunk", "codes", "held").mapInArrow(opened, "chunk long, code long, held long")
     counts = stage(wanted.groupBy("code").agg(F.sum("held").alias("n")), "link-counts")
     first = F.shiftright("code", 32).alias("a")
     # a row for each id of A, so never more than that vocabulary has
     highest = counts.groupBy(first).agg(F.max("n").alias("most"))
     judged = counts.withColumn("a", first).join(F.broadcast(highest), "a").select("code", "n", (F.col("n") == F.col("most")).alias("best"))
     met = wanted.select("chunk", "code").join(judged, "code").select("chunk", "code", "n", "best")
-    out = T.StructType([*carried, T.StructField("n_best", T.LongType()), T.StructField("count_sum", T.LongType())])
+    out = T.StructType([*fields, T.StructField("n_best", T.LongType()), T.StructField("count_sum", T.LongType())])
 
     def summed(left: pa.Table, right: pa.Table) -> pa.Table:
         codes = right["code"].to_numpy()
         order = np.argsort(codes, kind="stable")
         n, best = right["n"].to_numpy()[order], right["best"].to_numpy().astype(np.int64)[order]
-        parts = []
-        for row in left.to_batches():
-            for i in range(row.num_rows):
-                sizes = from_planes(row.column("sizes")[i].as_py(), np.int32).astype(np.int64)
-                place = from_planes(row.column("place")[i].as_py(), np.int32)
-                times = from_planes(row.column("times")[i].as_py(), np.int64)
-                ends = np.cumsum(sizes)
-                sums = [np.diff(np.concatenate([[0], np.cumsum(x)])[np.concatenate([[0], ends])]) for x in (times * best[place], times * n[place])]
-                held = [row.column(f"c{j}")[i].values for j in range(len(names))]
-                parts.append(pa.table([*held, *(pa.array(x) for x in sums)], names=out.names))
-        return pa.concat_tables(parts) if parts else None
+        left = left.combine_chunks()
+        sizes, place, times = (
+            from_planes(left[name][0].as_py(), kind) for name, kind in (("sizes", np.int32), ("place", np.int32), ("times", np.int64))
+        )
+        ends = np.concatenate([[0], np.cumsum(sizes.astype(np.int64))])
+        sums = [np.diff(np.concatenate([[0], np.cumsum(times * worth[place])])[ends]) for worth in (best, n)]
+        docs = left["docs"].combine_chunks().flatten()
+        return pa.table([*docs.flatten(), *(pa.array(x) for x in sums)], names=out.names)
 
-    return packed.drop("codes", "docs").groupBy("chunk").cogroup(met.groupBy("chunk")).applyInArrow(summed, out)
+    return packed.drop("codes", "held").groupBy("chunk").cogroup(met.groupBy("chunk")).applyInArrow(summed, out)
 
 
 def planes(values: np.ndarray) -> bytes:
@@ -334,6 +330,3 @@ def planes(values: np.ndarray) -> bytes:
 def from_planes(raw: bytes, kind) -> np.ndarray:
     return packing.from_planes(raw, kind) if raw else np.zeros(0, kind)
 
-
-def _unpacked(column: pa.Array) -> np.ndarray:
-    return np.concatenate([np.zeros(0, np.int64), *(from_planes(raw, np.int64) for raw in column.to_pylist() if raw)])

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from public_tokenizers import path as tokenizer_path
 
-from stormlake.llm.align import align, score_links
+from stormlake.llm.align import align_chunks, score_links
 from stormlake.llm.ann import build_lists, search_lists
 from stormlake.llm.decontaminate import find_contamination
 from stormlake.llm.html_text import extract_text
@@ -159,9 +159,13 @@ def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups and links of two tokenizers in every document, and how common the links are."""
     docs = _table(spark, sf_dir, "documents")
-    found = align(docs, tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
-    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
-    return score_links(found.withColumn("groups_sha256", digest).drop("groups"))
+    found = align_chunks(docs, tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+    def digested(doc):
+        digest = F.when(doc["groups"] == "", "").otherwise(F.sha2(doc["groups"], 256))
+        return doc.dropFields("groups").withField("groups_sha256", digest)
+
+    return score_links(found.withColumn("docs", F.transform("docs", digested)))
 
 
 @query

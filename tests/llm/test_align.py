@@ -7,7 +7,7 @@ import sentencepiece
 from public_tokenizers import path
 from tokenizers import Tokenizer
 
-from stormlake.llm.align import align, common_ends, score_links
+from stormlake.llm.align import align, align_chunks, common_ends, score_links
 
 JSON, MODEL = path("byte_bpe_50k.json"), path("piece_bpe_32k.model")
 DOCS = "doc_id long, text string"
@@ -65,7 +65,7 @@ class Plain:
 
 
 def ours(spark, docs, **options):
-    rows = score_links(align(spark.createDataFrame(docs, DOCS), JSON, MODEL), **options).collect()
+    rows = score_links(align_chunks(spark.createDataFrame(docs, DOCS), JSON, MODEL, **options)).collect()
     names = ("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups")
     return sorted((tuple(r[n] for n in names) for r in rows), key=str)
 
@@ -123,5 +123,6 @@ def test_a_group_without_common_ends_inside(spark, monkeypatch):
 def test_empty_table_and_extra_columns(spark):
     assert ours(spark, []) == []
     frame = spark.createDataFrame([(1, "a b", "x", 2, 3)], f"{DOCS}, groups string, n_a int, chunk long")
-    (row,) = score_links(align(frame, JSON, MODEL)).collect()
+    (row,) = score_links(align_chunks(frame, JSON, MODEL)).collect()
     assert (row["doc_id"], row["n_a"], row["groups"]) == (1, 2, "257|264;275|287")
+    assert align(frame, JSON, MODEL).drop("groups").collect() == [(1, 2, 2, 2, 2)]
