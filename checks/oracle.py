@@ -336,7 +336,7 @@ FROM ({_rendered("SELECT * FROM merged")})""",
             _RAW, *split, f"o AS ({_rendered('SELECT * FROM ann')})", f"n AS ({_rendered('SELECT * FROM corr')})"
         )
         + """SELECT k AS unique_event_id, "Serial", "InfoType", md5(txt) AS text_md5,
-    CASE WHEN k IN (SELECT k FROM n) THEN 'update_preimage' ELSE 'delete' END AS _change_type FROM o
+    'update_preimage' AS _change_type FROM o WHERE k IN (SELECT k FROM n)
   UNION ALL SELECT k, "Serial", "InfoType", md5(txt),
     CASE WHEN k IN (SELECT k FROM o) THEN 'update_postimage' ELSE 'insert' END FROM n""",
         "raw_archive": _with(_RAW)

@@ -12,12 +12,12 @@ from stormlake.functions.text import clean_sections, link_filename, stable_bucke
 from stormlake.functions.times import event_year, observation_date, observation_time, tokyo_time
 from stormlake.functions.names import normal_name
 from stormlake.operators import extract
-from stormlake.operators.changes import change_feed
 from stormlake.operators.context import answer_prompts, assemble_context
 from stormlake.operators.dedup import latest_observations
 from stormlake.operators.documents import document_rows
 from stormlake.operators.embed import embed
 from stormlake.operators.index import sync_actions, sync_index
+from stormlake.operators.merge import read_changes
 from stormlake.operators.questions import (
     gate,
     parse_questions,
@@ -36,7 +36,7 @@ from stormlake.session import stage, work_path
 from stormlake.sources.archive import read_archive, write_archive
 from stormlake.sources.bulletins import parse_bulletins, read_bulletins, split_quarantine
 from stormlake.sources.feed import read_feed, storm_entries
-from stormlake.sources.tables import read_documents, write_documents
+from stormlake.sources.tables import document_table, read_documents, write_documents
 from stormlake.streaming.ingest import ingest_landed
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -312,7 +312,7 @@ def document_render(spark, sf):
 
 
 @query("document_table")
-def document_table(spark, sf):
+def document_table_(spark, sf):
     return _documents(spark, sf).select(
         "id_", "EventID", "TyphoonName", "ObservationDate", "ObservationTime",
         "ObservationDateTime", "InfoType", "Serial", "InfoKindVersion", "Text",
@@ -350,8 +350,10 @@ def upsert_(spark, sf):
 
 @query("change_feed")
 def change_feed_(spark, sf):
-    old, new = (documents_from_payloads(part) for part in _corrections(_landed(spark, sf)))
-    feed = change_feed(old, new, "unique_event_id")
+    path = work_path(spark, "documents")
+    for part in _corrections(_landed(spark, sf)):
+        batch = upsert(spark, documents_from_payloads(part), path).batch
+    feed = read_changes(spark, document_table(path), batch, batch)
     return feed.select("unique_event_id", "Serial", "InfoType", F.md5("Text").alias("text_md5"), "_change_type")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..constants import DOCUMENT_LINES, MISSING, MISSING_BY_FIELD
 from ..functions.text import blank_to_null
 from ..functions.times import event_year, observation_date, observation_time, tokyo_time
+from ..sources.tables import event_bucket
 
 
 def fill(template: str, values: dict[str, Column]) -> Column:
@@ -55,4 +56,5 @@ def document_rows(observations: DataFrame) -> DataFrame:
         tokyo_time(time).alias("obs_jst"),
         F.char_length("Text").alias("text_chars"),
         event_year(time).alias("event_year"),
+        event_bucket(F.col("EventID")).alias("event_bucket"),
     )

@@ -43,5 +43,5 @@ DOCUMENT = (
     "id_ string, EventID string, TyphoonName string, ObservationDate string, "
     "ObservationTime string, ObservationDateTime string, InfoType string, Serial string, "
     "InfoKindVersion string, Text string, embedding array<float>, unique_event_id string, "
-    "obs_jst timestamp_ntz, text_chars int, event_year string"
+    "obs_jst timestamp_ntz, text_chars int, event_year string, event_bucket int"
 )

@@ -34,7 +34,7 @@ def names(spark, path):
 def test_upsert_replaces_inserts_and_keeps(spark, tmp_path):
     path = str(tmp_path / "t")
     upsert(spark, documents_from_payloads(landed(spark, made("A"), made("B", hour=14), made("Z", year=2023))), path)
-    old_year = sorted(p.name for p in Path(path, "event_year=2023").glob("*.parquet"))
+    old_year = sorted(p.name for p in Path(path, "event_year=2023").rglob("*.parquet"))
     source = documents_from_payloads(landed(spark, made("C", serial="0"), made("D", hour=15)))
     upsert(spark, source, path)
     assert names(spark, path) == {
@@ -44,7 +44,7 @@ def test_upsert_replaces_inserts_and_keeps(spark, tmp_path):
         "TC012023-08-28T13:00:00+09:00": ("Z", "1"),
     }
     # an untouched year is not rewritten
-    assert old_year == sorted(p.name for p in Path(path, "event_year=2023").glob("*.parquet"))
+    assert old_year == sorted(p.name for p in Path(path, "event_year=2023").rglob("*.parquet"))
     once = content(read_documents(spark, path))
     upsert(spark, source, path)
     assert content(read_documents(spark, path)) == once
