@@ -355,8 +355,13 @@ FROM n FULL JOIN o ON n.doc_id = o.doc_id""",
         "similarity_topk": _with(_CENTROIDS, _SCORES, _top(4)) + "SELECT * FROM best",
         "retriever_k3": _with(_CENTROIDS, _SCORES, _top(3))
         + """SELECT b.query_label, b.rank, b.score, e.vec_id, e.label,
-  round(CAST(e.embedding[1] AS DOUBLE), 6) AS first_component
+  array_to_string(list_transform(e.embedding, lambda x: printf('%.6f', CAST(x AS DOUBLE))), ' ') AS components
 FROM best b JOIN embeddings e ON e.vec_id = b.vec_id""",
+        "search_text": _with(_vectors("qv", "benchmark", "item_id", "text"), _vectors("dv", "documents", "doc_id", "text"))
+        + """, scores AS (SELECT qv.key AS item_id, dv.key AS doc_id, round(sum(qv.w * dv.w), 9) AS score FROM qv JOIN dv USING (dim) GROUP BY 1, 2)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY s.score DESC, doc_id) AS INTEGER) AS rank, round(s.score, 5) AS score, doc_id, lang
+FROM scores s JOIN documents USING (doc_id)
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY s.score DESC, doc_id) <= 4""",
         "similarity_ann": _with(_CENTROIDS, _SCORES, _PLANES, _top(4, "candidates")) + "SELECT * FROM best",
         # questions and structured retrieval
         "question_parse": _with(_RAW, _DOCS, _QUESTIONS)

@@ -28,7 +28,7 @@ from stormlake.operators.questions import (
     storm_names,
 )
 from stormlake.operators.retrieve import match_names, retrieve, retrieve_batch
-from stormlake.operators.similarity import approximate_top_k, bucket_index, search, top_k
+from stormlake.operators.similarity import approximate_top_k, bucket_index, search, search_text, top_k
 from stormlake.operators.upsert import upsert
 from stormlake.plans.answer import answer_batch, fallback_hits, structured_hits
 from stormlake.plans.ingest import documents, documents_from_payloads, observations
@@ -402,21 +402,30 @@ def embedding_sync(spark, sf):
 @query("similarity_topk")
 def similarity_topk(spark, sf):
     vectors = fx.table(spark, sf, "embeddings")
-    return top_k(_centroids(vectors), vectors, 4, "query_label", "vec_id")
+    return top_k(_centroids(vectors), vectors, 4, "query_label", "vec_id", 64)
 
 
 @query("retriever_k3")
 def retriever_k3(spark, sf):
     vectors = fx.table(spark, sf, "embeddings")
     found = search(
-        _centroids(vectors), vectors, ["vec_id", "label", "embedding"], "query_label", "vec_id", k=3
+        _centroids(vectors), vectors, ["vec_id", "label", "embedding"], "query_label", "vec_id", 64, k=3
     )
+    components = F.transform("embedding", lambda x: F.format_string("%.6f", x.cast("double")))
     return found.select(
-        "query_label", "rank", "score", "vec_id", "label",
-        F.round(F.get("embedding", F.lit(0)).cast("double"), 6).alias("first_component"),
+        "query_label", "rank", "score", "vec_id", "label", F.array_join(components, " ").alias("components")
     )
 
 
+@query("search_text")
+def search_text_(spark, sf):
+    """The four documents nearest to each benchmark text, by their embedding."""
+    docs = fx.table(spark, sf, "documents")
+    vectors = stage(embed(docs, "doc_id", "text"), "vectors").join(docs.select("doc_id", "lang"), "doc_id")
+    found = search_text(fx.table(spark, sf, "benchmark"), vectors, ["doc_id", "lang"], "item_id", "text", "doc_id")
+    return found.select("item_id", "rank", F.round("score", 5).alias("score"), "doc_id", "lang")
+
+
 @query("similarity_ann")
 def similarity_ann(spark, sf):
     vectors = fx.table(spark, sf, "embeddings")

@@ -1,21 +1,16 @@
 """Top-k similarity by inner product."""
 
-import math
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.vectors import SCORE_DECIMALS, dot, plane_signs
 from ..session import stage
+from .blocks import BLOCK_ROWS, exact_top_k, vector_blocks
+from .embed import DIMENSIONS, embed
 
 SEARCH_K = 4
 RETRIEVER_K = 3
-# Query vectors are handed to the tasks in blocks of at most this size.
-BLOCK_BYTES = 16 << 20
 TABLES, PLANES = 8, 6
 
 
@@ -32,122 +27,47 @@ def _rank(scored: DataFrame, query_key: str, key: str, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _block_top_k(
-    queries: DataFrame, docs: DataFrame, k: int, query_key: str, key: str, embedding: str, dim: int
-) -> DataFrame:
-    """Each task's k best per query, for one block of queries that fits in memory."""
-    block = queries.select(query_key, embedding).toArrow()
-    ids = block.column(0)
-    matrix = np.array(block.column(1).to_pylist(), dtype=np.float64).reshape(-1, dim)
-    shared = docs.sparkSession.sparkContext.broadcast((ids.to_pylist(), matrix))
-    decimals = SCORE_DECIMALS
-
-    # both are nested, so tasks receive their code and need not have the package installed
-    def best(keys, scores):
-        """Positions of the k highest scores, ties by key."""
-        if len(scores) > k:
-            bar = np.partition(scores, len(scores) - k)[len(scores) - k]
-            found = np.flatnonzero(scores >= bar)
-        else:
-            found = np.arange(len(scores))
-        order = sorted(found.tolist(), key=lambda i: (-scores[i], keys[i]))
-        return np.array(order[:k], dtype=np.int64)
-
-    def search(batches):
-        query_ids, wanted = shared.value
-        held = [([], []) for _ in query_ids]
-        for batch in batches:
-            keys = np.array(batch.column(0).to_pylist(), dtype=object)
-            if not len(keys):
-                continue
-            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False)
-            vectors = flat.astype(np.float64).reshape(-1, dim)
-            for first in range(0, len(query_ids), 256):
-                scores = np.round(wanted[first : first + 256] @ vectors.T, decimals)
-                for row, line in enumerate(scores, first):
-                    top = best(keys, line)
-                    old_keys, old_scores = held[row]
-                    all_keys = np.array([*old_keys, *keys[top]], dtype=object)
-                    all_scores = np.array([*old_scores, *line[top]])
-                    top = best(all_keys, all_scores)
-                    held[row] = (list(all_keys[top]), list(all_scores[top]))
-        rows = [
-            (query_id, found, score)
-            for query_id, (keys, scores) in zip(query_ids, held)
-            for found, score in zip(keys, scores)
-        ]
-        columns = [list(c) for c in zip(*rows)] or [[], [], []]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(c, type=t) for c, t in zip(columns, arrow_types)], names=names
-        )
-
-    key_type = docs.schema[key].dataType
-    query_type = queries.schema[query_key].dataType
-    schema = T.StructType(
-        [T.StructField(query_key, query_type), T.StructField(key, key_type), T.StructField("score", T.DoubleType())]
-    )
-    names = schema.names
-    arrow_types = [to_arrow_type(f.dataType) for f in schema]
-    return docs.select(key, embedding).mapInArrow(search, schema)
-
-
-def _usual_length(docs: DataFrame, embedding: str) -> int:
-    lengths = docs.where(F.col(embedding).isNotNull()).groupBy(F.size(embedding).alias("n")).count()
-    usual = lengths.orderBy(F.desc("count"), "n").first()
-    return usual["n"] if usual and usual["n"] else 1
-
-
 def top_k(
-    queries: DataFrame,
-    docs: DataFrame,
-    k: int,
-    query_key: str,
-    key: str,
-    embedding: str = "embedding",
-    block_bytes: int = BLOCK_BYTES,
-    dim: int | None = None,
+    queries: DataFrame, docs: DataFrame, k: int, query_key: str, key: str, dim: int, embedding: str = "embedding",
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """``query_key, key, score, rank``: the exact k best documents of every query.
 
-    ``dim`` is the length of the indexed vectors; without it, the most frequent length among the
-    documents. Vectors of another length, with a hole, or all zero take no part and do
-    not change what the others find.
-
-    The documents are read once per block of queries and never shuffled: each task
-    scores its batches as one matrix product and keeps k rows per query, and only those
-    are ranked. The number of blocks follows from the measured size of the queries, so a
-    task never holds more than ``block_bytes`` of them.
+    Vectors of another length than ``dim``, with a hole, or all zero take no part. A job that searches the
+    same documents again keeps their ``vector_blocks`` and calls ``top_k_of_blocks``.
     """
-    asked = queries.where(F.col(embedding).isNotNull()).select(query_key, embedding)
-    usable = stage(asked, "queries")
-    dim = dim or _usual_length(docs, embedding)
-    blocks = max(1, math.ceil(usable.count() * dim * 8 / block_bytes))
-    fits = (
-        (F.size(embedding) == dim)
-        & ~F.exists(F.col(embedding), lambda x: x.isNull())
-        & F.exists(F.col(embedding), lambda x: x != 0)
-    )
-    usable, docs = usable.where(fits), docs.where(fits)
-    numbered = usable.withColumn("_block", F.pmod(F.xxhash64(query_key), F.lit(blocks)))
-    scored = None
-    for number in range(blocks):
-        part = _block_top_k(
-            numbered.where(F.col("_block") == number), docs, k, query_key, key, embedding, dim
-        )
-        scored = part if scored is None else scored.unionByName(part)
-    return _rank(scored, query_key, key, k)
+    blocks = vector_blocks(docs, key, embedding, dim, block_rows)
+    return top_k_of_blocks(queries, blocks, k, query_key, key, dim, embedding)
+
+
+def top_k_of_blocks(
+    queries: DataFrame, blocks: DataFrame, k: int, query_key: str, key: str, dim: int, embedding: str = "embedding"
+) -> DataFrame:
+    found = exact_top_k(queries, blocks, k, query_key, embedding, dim)
+    return _rank(found.select(F.col("asked").alias(query_key), F.col("key").alias(key), "score"), query_key, key, k)
 
 
 def search(
-    queries: DataFrame, docs: DataFrame, columns: list[str], query_key: str, key: str, k: int = SEARCH_K,
-    dim: int | None = None,
+    queries: DataFrame, docs: DataFrame, columns: list[str], query_key: str, key: str, dim: int, k: int = SEARCH_K,
 ) -> DataFrame:
     """Top-k with chosen document columns; the few found keys look their rows up."""
-    found = top_k(queries, docs, k, query_key, key, dim=dim)
+    found = top_k(queries, docs, k, query_key, key, dim)
     wanted = docs.select(*dict.fromkeys([key, *columns]))
     return found.join(wanted, key).select(query_key, "rank", "score", *columns)
 
 
+def search_text(
+    texts: DataFrame, docs: DataFrame, columns: list[str], text_key: str, text: str, key: str,
+    k: int = SEARCH_K, dim: int = DIMENSIONS,
+) -> DataFrame:
+    """The same for plain texts: each is embedded as the index was. Equal texts are searched once."""
+    asked = texts.select(F.col(text_key), F.col(text).alias("_text")).where(F.col("_text").isNotNull())
+    asked = asked.withColumn("_text_id", F.sha2("_text", 256))
+    vectors = embed(asked.select("_text_id", "_text").dropDuplicates(["_text_id"]), "_text_id", "_text", dim)
+    found = search(vectors, docs, columns, "_text_id", key, dim, k)
+    return asked.select(text_key, "_text_id").join(found, "_text_id").drop("_text_id")
+
+
 def buckets(embedding: Column, dim: int, tables: int = TABLES, planes: int = PLANES) -> Column:
     """One bucket per hash table: the sides of its planes the vector lies on, as bits."""
     signs = plane_signs(tables * planes, dim)

@@ -28,7 +28,7 @@ def fallback_hits(
     distinct = texts.select("_text_id", "question").dropDuplicates(["_text_id"])
     vectors = embed(distinct, "_text_id", "question", DIMENSIONS)
     # k rows per distinct text, searched once whatever reads the hits
-    found = stage(top_k(vectors, index, k, "_text_id", "unique_event_id", dim=DIMENSIONS), "similar")
+    found = stage(top_k(vectors, index, k, "_text_id", "unique_event_id", DIMENSIONS), "similar")
     placed = texts.join(found, "_text_id").select(
         "question_id", "unique_event_id", F.col("rank").alias("place")
     )

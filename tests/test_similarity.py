@@ -2,9 +2,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from stormlake.operators import blocks as blocked
 from stormlake.operators.embed import embed
 from stormlake.operators.index import sync_actions, sync_index
-from stormlake.operators.similarity import approximate_top_k, bucket_index, nearest, search, top_k
+from stormlake.operators.similarity import approximate_top_k, bucket_index, nearest, search, search_text, top_k
 
 
 @pytest.fixture(scope="module")
@@ -27,27 +28,58 @@ def brute(vectors, queries, k):
     return out
 
 
-@pytest.mark.parametrize("block_bytes", [16 << 20, 8000])
-def test_top_k_is_exact_with_copies_and_many_blocks(vectors, block_bytes):
+@pytest.mark.parametrize("block_rows", [1024, 40, 3])
+def test_top_k_is_exact_with_copies_and_many_blocks(vectors, block_rows):
     queries = vectors.where("id < 'd150' or id in ('none')").select(F.col("id").alias("qid"), "embedding")
-    found = top_k(queries, vectors, 4, "qid", "id", block_bytes=block_bytes).collect()
+    found = top_k(queries, vectors, 4, "qid", "id", 16, block_rows=block_rows).collect()
     assert {(r.qid, r.id, r["rank"]) for r in found} == brute(vectors, queries, 4)
     assert len(found) == 150 * 4
 
 
+def test_blocks_below_the_kth_score_are_skipped(spark):
+    """Vectors in far-off clusters: a query needs few blocks, and still gets its best."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(40, 16)) * 10
+    made = np.concatenate([c + rng.normal(size=(50, 16)) * 0.2 for c in centres])
+    docs = spark.createDataFrame([(f"d{n:04d}", v.tolist()) for n, v in enumerate(made)], "id string, embedding array<double>")
+    queries = docs.where("id like '%7'").select(F.col("id").alias("qid"), "embedding")
+    found = top_k(queries, docs, 4, "qid", "id", 16, block_rows=50)
+    assert {(r.qid, r.id, r["rank"]) for r in found.collect()} == brute(docs, queries, 4)
+    blocks = blocked.vector_blocks(docs, "id", "embedding", 16, 50)
+    groups, n_groups = blocked.query_groups(queries, "qid", "embedding", 16)
+    bounds = blocked._summaries(blocks, 16, n_groups)
+    firsts = blocked.first_blocks(bounds, groups, 16, 4)
+    first = blocked._scored(firsts.groupBy("group", "block").agg(F.collect_list("place").alias("places")), blocks, groups, 4, 16)
+    floors = first.groupBy("group", "place", "block").agg(F.min("score").alias("floor"))
+    further = blocked.further_blocks(bounds, groups, floors, 16)
+    met = further.agg(F.sum(F.size("places"))).first()[0] + firsts.count()
+    assert met < 0.35 * queries.count() * blocks.count()
+
+
+def test_search_by_text(spark):
+    texts = [("a", "the storm moved north"), ("b", "gale warning for the coast"), ("c", "the storm moved north")]
+    docs = spark.createDataFrame(texts, "id string, t string")
+    index = embed(docs, "id", "t").join(docs, "id")
+    asked = spark.createDataFrame([(1, "storm moved north"), (2, "coast warning"), (3, "storm moved north"), (4, None), (5, "")], "qid int, q string")
+    found = search_text(asked, index, ["id", "t"], "qid", "q", "id", k=2).collect()
+    assert sorted((r.qid, r["rank"], r.id) for r in found if r["rank"] == 1 or r.qid != 2) == [
+        (1, 1, "a"), (1, 2, "c"), (2, 1, "b"), (3, 1, "a"), (3, 2, "c"),
+    ]
+
+
 def test_fewer_documents_than_k_and_no_queries(spark, vectors):
     two = vectors.where("id in ('d001', 'd002')")
     queries = vectors.where("id = 'd007'").select(F.col("id").alias("qid"), "embedding")
-    assert top_k(queries, two, 4, "qid", "id").count() == 2
-    assert top_k(queries.limit(0), vectors, 4, "qid", "id").count() == 0
+    assert top_k(queries, two, 4, "qid", "id", 16).count() == 2
+    assert top_k(queries.limit(0), vectors, 4, "qid", "id", 16).count() == 0
 
 
 def test_odd_vectors_change_nothing_for_the_others(spark, vectors):
     queries = vectors.where("id < 'd010'").select(F.col("id").alias("qid"), "embedding")
-    alone = sorted(map(tuple, top_k(queries, vectors, 4, "qid", "id").select("qid", "id", "rank").collect()))
+    alone = sorted(map(tuple, top_k(queries, vectors, 4, "qid", "id", 16).select("qid", "id", "rank").collect()))
     odd = spark.createDataFrame([("long", [1.0] * 17), ("zero", [0.0] * 16), ("none", None)], "qid string, embedding array<double>")
     odd = odd.withColumn("embedding", F.col("embedding").cast(vectors.schema["embedding"].dataType))
-    mixed = top_k(queries.unionByName(odd), vectors, 4, "qid", "id")
+    mixed = top_k(queries.unionByName(odd), vectors, 4, "qid", "id", 16)
     assert sorted(map(tuple, mixed.select("qid", "id", "rank").collect())) == alone
 
 
@@ -55,13 +87,13 @@ def test_nearest_equals_top_k(vectors):
     query = vectors.where("id = 'd042'").first().embedding
     queries = vectors.where("id = 'd042'").select(F.col("id").alias("qid"), "embedding")
     one = [(r.id, r.score) for r in nearest(vectors, query, 4, "id", "embedding").collect()]
-    many = [(r.id, r.score) for r in top_k(queries, vectors, 4, "qid", "id").orderBy("rank").collect()]
+    many = [(r.id, r.score) for r in top_k(queries, vectors, 4, "qid", "id", 16).orderBy("rank").collect()]
     assert one == many
 
 
 def test_search_returns_chosen_columns(vectors):
     queries = vectors.where("id = 'd042'").select(F.col("id").alias("qid"), "embedding")
-    found = search(queries, vectors, ["id", "label"], "qid", "id")
+    found = search(queries, vectors, ["id", "label"], "qid", "id", 16)
     assert found.columns == ["qid", "rank", "score", "id", "label"] and found.count() == 4
 
 
@@ -69,9 +101,9 @@ def test_approximate_search_scores_exactly_and_recalls_most(vectors):
     queries = vectors.where("id < 'd100'").select(F.col("id").alias("qid"), "embedding")
     index = bucket_index(vectors, "id", "embedding", 16)
     near = approximate_top_k(queries, index, 4, "qid", "id", 16).collect()
-    exact = top_k(queries, vectors, 4, "qid", "id").collect()
+    exact = top_k(queries, vectors, 4, "qid", "id", 16).collect()
     assert len({(r.qid, r.id) for r in near}) == len(near)
-    scores = {(r.qid, r.id): r.score for r in top_k(queries, vectors, 500, "qid", "id").collect()}
+    scores = {(r.qid, r.id): r.score for r in top_k(queries, vectors, 500, "qid", "id", 16).collect()}
     assert all(scores[r.qid, r.id] == r.score for r in near)
     recall = len({(r.qid, r.id) for r in near} & {(r.qid, r.id) for r in exact}) / len(exact)
     print("recall", recall)
