@@ -1,6 +1,6 @@
 """Exact top-k by inner product without scoring all pairs.
 
-Vectors lie in blocks of about ``BLOCK_ROWS`` that fall on the same sides of some planes, so a block is
+Vectors are sorted by the sides of some planes that they lie on and cut into blocks of ``BLOCK_ROWS``, so a block is
 small in space. A block knows its centre, the largest distance from it and the largest norm; no
 vector in it can score more with a query than the centre's score plus distance times the query's norm. A query is first
 scored in the block whose centre suits it best, which gives it a kth score. Then it only meets the
@@ -12,11 +12,12 @@ task holds one block and one group of queries at a time.
 
 from __future__ import annotations
 
-import math
+import sys
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext, cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,11 +26,14 @@ from pyspark.sql.pandas.types import to_arrow_type
 from ..functions.vectors import SCORE_DECIMALS, plane_signs
 from ..session import stage
 
+# tasks receive this module's code with the job, so executors need not have it installed
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 BLOCK_ROWS = 1024
 #: queries of one packed row, and blocks whose bounds are taken at a time
 GROUP_ROWS = 1024
-#: planes that cells are told apart by: 2 to this power cells at most
-MOST_PLANES = 20
+#: planes whose sides vectors are sorted by
+PLANES = 24
 #: bounds are raised by this much, more than any rounding of a score
 _SLACK = 1e-8
 
@@ -65,82 +69,84 @@ def _matrix(vectors: pa.Array, dim: int) -> np.ndarray:
 def vector_blocks(docs: DataFrame, key: str, embedding: str, dim: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """The written blocks: ``block, keys, vectors, n, centre, radius, longest``.
 
-    How many planes tell cells apart follows from the number of vectors. A cell of more than ``block_rows``, such
-    as one of copies, becomes several blocks.
+    Vectors are sorted by the sides of the planes they lie on, and every ``block_rows`` in a row are a block. Equal sides,
+    such as those of copies, are spread over tasks by the key.
     """
     usable = docs.where(fits(embedding, dim)).select(F.col(key).alias("key"), F.col(embedding).alias("v"))
-    coded = usable.withColumn("code", plane_sides(F.col("v"), dim, MOST_PLANES))
-    codes = stage(coded.groupBy("code").count(), "vector-codes")
-    total = codes.agg(F.sum("count")).first()[0] or 0
-    planes = min(MOST_PLANES, max(0, math.ceil(math.log2(max(1, total / block_rows)))))
-    cell = F.shiftright("code", MOST_PLANES - planes)
-    # a row per cell, about as many as blocks
-    sizes = codes.groupBy(cell.alias("cell")).agg(F.ceil(F.sum("count") / block_rows).alias("parts"))
-    dealt = coded.withColumn("cell", cell).join(sizes, "cell")
-    block = F.shiftleft(F.col("cell").cast("long"), 32) + F.pmod(F.xxhash64("key"), F.col("parts"))
+    coded = usable.select("key", "v", plane_sides(F.col("v"), dim, PLANES).alias("code"), F.xxhash64("key").alias("h"))
     key_type = docs.schema[key].dataType
     schema = T.StructType([
         T.StructField("block", T.LongType()), T.StructField("keys", T.ArrayType(key_type)), T.StructField("vectors", T.BinaryType()),
         T.StructField("n", T.IntegerType()), T.StructField("centre", T.BinaryType()), T.StructField("radius", T.DoubleType()),
         T.StructField("longest", T.DoubleType()),
     ])
+    names, types = schema.names, [to_arrow_type(f.dataType) for f in schema]
 
-    def packed(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        matrix = _matrix(table["v"].combine_chunks(), dim)
+    def block(number: int, rows: pa.Table) -> pa.RecordBatch:
+        matrix = _matrix(rows["v"].combine_chunks(), dim)
         centre = matrix.mean(axis=0)
         radius = float(np.sqrt(((matrix - centre) ** 2).sum(axis=1)).max())
         longest = float(np.sqrt((matrix**2).sum(axis=1)).max())
-        keys = pa.ListArray.from_arrays(np.array([0, len(matrix)], np.int32), table["key"].combine_chunks())
-        values = [[table["block"][0].as_py()], keys, [matrix.tobytes()], [len(matrix)], [centre.tobytes()], [radius], [longest]]
-        return pa.table([v if isinstance(v, pa.Array) else pa.array(v, t) for v, t in zip(values, types)], names=names)
+        keys = pa.ListArray.from_arrays(np.array([0, len(matrix)], np.int32), rows["key"].combine_chunks())
+        values = [[number], keys, [matrix.tobytes()], [len(matrix)], [centre.tobytes()], [radius], [longest]]
+        return pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v, t) for v, t in zip(values, types)], names=names)
 
-    names, types = schema.names, [to_arrow_type(f.dataType) for f in schema]
-    rows = dealt.select(block.alias("block"), "key", "v")
-    return stage(rows.groupBy("block").applyInArrow(packed, schema), "vector-blocks")
+    def packed(batches):
+        number, waiting = TaskContext.get().partitionId() << 32, None
+        for batch in batches:
+            one = pa.Table.from_batches([batch])
+            waiting = pa.concat_tables([waiting, one]) if waiting else one
+            while waiting.num_rows >= block_rows:
+                yield block(number, waiting.slice(0, block_rows))
+                number, waiting = number + 1, waiting.slice(block_rows)
+        if waiting and waiting.num_rows:
+            yield block(number, waiting)
+
+    return stage(coded.sort("code", "h").select("key", "v").mapInArrow(packed, schema), "vector-blocks")
 
 
-def query_groups(queries: DataFrame, query_key: str, embedding: str, dim: int) -> tuple[DataFrame, int]:
-    """The written queries, ``group, asked, matrix``, about ``GROUP_ROWS`` a row, and how many rows there may be."""
+def query_groups(queries: DataFrame, query_key: str, embedding: str, dim: int) -> DataFrame:
+    """The written queries, ``group, asked, matrix``, at most ``GROUP_ROWS`` a row."""
     usable = queries.where(fits(embedding, dim)).select(F.col(query_key).alias("asked"), F.col(embedding).alias("v"))
-    usable = stage(usable, "queries")
-    n_groups = max(1, -(-usable.count() // GROUP_ROWS))
-    group = F.pmod(F.xxhash64("asked", "v"), F.lit(n_groups))
     schema = T.StructType([
         T.StructField("group", T.LongType()), T.StructField("asked", T.ArrayType(queries.schema[query_key].dataType)),
         T.StructField("matrix", T.BinaryType()),
     ])
-
-    def packed(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        asked = pa.ListArray.from_arrays(np.array([0, table.num_rows], np.int32), table["asked"].combine_chunks())
-        matrix = _matrix(table["v"].combine_chunks(), dim).tobytes()
-        return pa.table([pa.array([table["group"][0].as_py()]), asked, pa.array([matrix])], names=names)
-
     names = schema.names
-    return stage(usable.withColumn("group", group).groupBy("group").applyInArrow(packed, schema), "query-groups"), n_groups
 
+    def packed(batches):
+        number = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for at in range(0, batch.num_rows, GROUP_ROWS):
+                part = batch.slice(at, GROUP_ROWS)
+                asked = pa.ListArray.from_arrays(np.array([0, part.num_rows], np.int32), part.column("asked"))
+                yield pa.RecordBatch.from_arrays([pa.array([number]), asked, pa.array([_matrix(part.column("v"), dim).tobytes()])], names=names)
+                number += 1
 
-def _summaries(blocks: DataFrame, dim: int, n_groups: int) -> DataFrame:
-    """Bounds of many blocks a row, once for every group of queries: ``group, blocks, centres, radius, longest, n``."""
-    n_rows = max(1, -(-blocks.count() // GROUP_ROWS))
-    schema = "part long, blocks binary, centres binary, radius binary, longest binary, n binary"
+    return stage(usable.mapInArrow(packed, schema), "query-groups")
 
-    def packed(table: pa.Table) -> pa.Table:
-        def joined(name, kind):
-            return [table[name].to_numpy().astype(kind).tobytes()]
 
-        centres = [b"".join(table["centre"].to_pylist())]
-        values = [
-            [table["part"][0].as_py()], joined("block", np.int64), centres, joined("radius", np.float64),
-            joined("longest", np.float64), joined("n", np.int64),
-        ]
-        return pa.table(values, names=["part", "blocks", "centres", "radius", "longest", "n"])
+def block_bounds(blocks: DataFrame, groups: DataFrame) -> DataFrame:
+    """Centres and bounds of many blocks a row, once for each group of queries: ``group, blocks, centres, radius, longest, n``.
 
-    part = F.pmod(F.xxhash64("block"), F.lit(n_rows)).alias("part")
-    rows = blocks.select(part, "block", "centre", "radius", "longest", "n").groupBy("part").applyInArrow(packed, schema)
-    # every group has to look at every bound; the join is on the group's number
-    return stage(rows.drop("part"), "block-bounds").withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_groups - 1).cast("long"))))
+    Every group has to look at every bound; of the groups, the numbers alone are listed.
+    """
+    def packed(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, GROUP_ROWS):
+                part = batch.slice(at, GROUP_ROWS)
+                numbers = [
+                    part.column(name).to_numpy().astype(kind).tobytes()
+                    for name, kind in (("block", np.int64), ("radius", np.float64), ("longest", np.float64), ("n", np.int64))
+                ]
+                centres = b"".join(part.column("centre").to_pylist())
+                yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (*numbers, centres)], names=["blocks", "radius", "longest", "n", "centres"])
+
+    rows = blocks.select("block", "radius", "longest", "n", "centre").mapInArrow(
+        packed, "blocks binary, radius binary, longest binary, n binary, centres binary"
+    )
+    numbers = F.array(*[F.lit(r["group"]) for r in groups.select("group").collect()]).cast("array<bigint>")
+    return rows.withColumn("group", F.explode(numbers))
 
 
 def _read(batch: pa.RecordBatch, i: int, name: str, kind=np.float64) -> np.ndarray:
@@ -242,8 +248,8 @@ def _scored(pairs: DataFrame, blocks: DataFrame, groups: DataFrame, k: int, dim:
 
 def exact_top_k(queries: DataFrame, blocks: DataFrame, k: int, query_key: str, embedding: str, dim: int) -> DataFrame:
     """``asked, key, score``: candidates that hold the exact k best of every query, at most k from each block."""
-    groups, n_groups = query_groups(queries, query_key, embedding, dim)
-    summaries = _summaries(blocks, dim, n_groups)
+    groups = query_groups(queries, query_key, embedding, dim)
+    summaries = block_bounds(blocks, groups)
     firsts = first_blocks(summaries, groups, dim, k).groupBy("group", "block").agg(F.sort_array(F.collect_list("place")).alias("places"))
     first = stage(_scored(firsts, blocks, groups, k, dim), "first-scores")
     floors = first.groupBy("group", "place", "block").agg(

@@ -46,8 +46,8 @@ def test_blocks_below_the_kth_score_are_skipped(spark):
     found = top_k(queries, docs, 4, "qid", "id", 16, block_rows=50)
     assert {(r.qid, r.id, r["rank"]) for r in found.collect()} == brute(docs, queries, 4)
     blocks = blocked.vector_blocks(docs, "id", "embedding", 16, 50)
-    groups, n_groups = blocked.query_groups(queries, "qid", "embedding", 16)
-    bounds = blocked._summaries(blocks, 16, n_groups)
+    groups = blocked.query_groups(queries, "qid", "embedding", 16)
+    bounds = blocked.block_bounds(blocks, groups)
     firsts = blocked.first_blocks(bounds, groups, 16, 4)
     first = blocked._scored(firsts.groupBy("group", "block").agg(F.collect_list("place").alias("places")), blocks, groups, 4, 16)
     floors = first.groupBy("group", "place", "block").agg(F.min("score").alias("floor"))
