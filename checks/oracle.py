@@ -201,22 +201,29 @@ best AS (
   FROM {source} QUALIFY rank <= {k})"""
 
 
-# 48 planes of 64 signs each, a fixed function of their position
+# planes of 64 signs each, a fixed function of their position; a query opens its own bucket and the five
+# whose planes it is nearest to
 _PLANES = """
+size AS (SELECT CAST(greatest(1, least(24, ceil(log2(count(*) / 32.0)))) AS INTEGER) AS planes FROM embeddings),
 signs AS (
   SELECT (x - 1) // 64 AS plane, (x - 1) % 64 + 1 AS i,
     CASE WHEN (x * x * 2654435761 + x * 40503) % 4294967296 >= 2147483648 THEN 1 ELSE -1 END AS s
-  FROM range(1, 3073) r(x)),
+  FROM range(1, 1537) r(x), size WHERE (x - 1) // 64 < planes),
 sides AS (
-  SELECT v.kind, v.id, s.plane, CASE WHEN sum(v.x * s.s) >= 0 THEN 1 ELSE 0 END AS side
+  SELECT v.kind, v.id, s.plane, sum(v.x * s.s) AS margin
   FROM (SELECT 'd' AS kind, vec_id AS id, i, CAST(x AS DOUBLE) AS x FROM parts
         UNION ALL SELECT 'q', query_label, i, c FROM means) v
   JOIN signs s USING (i) GROUP BY 1, 2, 3),
-codes AS (SELECT kind, id, plane // 6 AS tab, sum(side * (1 << (plane % 6))) AS bucket FROM sides GROUP BY 1, 2, 3),
-met AS (
-  SELECT DISTINCT a.id AS query_label, b.id AS vec_id
-  FROM codes a JOIN codes b ON a.kind = 'q' AND b.kind = 'd' AND a.tab = b.tab AND a.bucket = b.bucket),
-candidates AS (SELECT s.* FROM scores s JOIN met USING (query_label, vec_id))"""
+codes AS (
+  SELECT kind, id, CAST(sum(CASE WHEN margin >= 0 THEN 1 << (planes - 1 - plane) ELSE 0 END) AS BIGINT) AS bucket
+  FROM sides, size GROUP BY 1, 2),
+distances AS (
+  SELECT s.id AS query_label, b.bucket,
+    sum(CASE WHEN (margin >= 0) <> ((b.bucket >> (planes - 1 - plane)) & 1 = 1) THEN margin * margin ELSE 0 END) AS far
+  FROM sides s, size, (SELECT unnest(range(0, CAST(1 << planes AS BIGINT))) AS bucket FROM size) b WHERE s.kind = 'q' GROUP BY 1, 2),
+opened AS (SELECT query_label, bucket FROM distances QUALIFY row_number() OVER (PARTITION BY query_label ORDER BY far) <= 6),
+candidates AS (
+  SELECT s.* FROM scores s JOIN codes d ON d.kind = 'd' AND d.id = s.vec_id JOIN opened o ON o.query_label = s.query_label AND o.bucket = d.bucket)"""
 
 _SECTIONS = r"""array_to_string(list_transform(string_split_regex(text, '\n[ \t]*\n\s*'),
     lambda s: regexp_replace(replace(s, chr(10), ''), ' ?\.', '.', 'g')), chr(10))"""

@@ -28,7 +28,15 @@ from stormlake.operators.questions import (
     storm_names,
 )
 from stormlake.operators.retrieve import match_names, retrieve, retrieve_batch
-from stormlake.operators.similarity import approximate_top_k, bucket_index, search, search_text, top_k
+from stormlake.operators.similarity import (
+    approximate_top_k,
+    hash_index,
+    plane_count,
+    search,
+    search_text,
+    top_k,
+    write_hash_index,
+)
 from stormlake.operators.upsert import upsert
 from stormlake.plans.answer import answer_batch, fallback_hits, structured_hits
 from stormlake.plans.ingest import documents, documents_from_payloads, observations
@@ -429,8 +437,10 @@ def search_text_(spark, sf):
 @query("similarity_ann")
 def similarity_ann(spark, sf):
     vectors = fx.table(spark, sf, "embeddings")
-    index = bucket_index(vectors, "vec_id", "embedding", 64)
-    return approximate_top_k(_centroids(vectors), index, 4, "query_label", "vec_id", 64)
+    planes, path = plane_count(vectors.count(), 32), work_path(spark, "hash-index")
+    write_hash_index(hash_index(vectors, "vec_id", "embedding", 64, planes), path)
+    index = spark.read.schema("vec_id long, embedding array<float>, bucket int, shelf int").parquet(path)
+    return approximate_top_k(_centroids(vectors), index, 4, "query_label", "vec_id", 64, planes, probes=6)
 
 
 # --- questions and structured retrieval --------------------------------------

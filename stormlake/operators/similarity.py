@@ -1,17 +1,24 @@
 """Top-k similarity by inner product."""
 
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import SCORE_DECIMALS, dot, plane_signs
 from ..session import stage
-from .blocks import BLOCK_ROWS, exact_top_k, vector_blocks
+from ..sources.tables import layout
+from .blocks import BLOCK_ROWS, exact_top_k, fits, plane_sides, vector_blocks
 from .embed import DIMENSIONS, embed
 
 SEARCH_K = 4
 RETRIEVER_K = 3
-TABLES, PLANES = 8, 6
+#: vectors that a bucket of the hash index holds on average, and buckets that a query opens
+BUCKET_ROWS, PROBES = 64, 16
+MOST_PLANES = 24
+#: the first planes name the folder of a bucket
+SHELF_PLANES = 6
 
 
 def nearest(docs: DataFrame, vector: list[float], k: int, key: str, embedding: str) -> DataFrame:
@@ -68,60 +75,79 @@ def search_text(
     return asked.select(text_key, "_text_id").join(found, "_text_id").drop("_text_id")
 
 
-def buckets(embedding: Column, dim: int, tables: int = TABLES, planes: int = PLANES) -> Column:
-    """One bucket per hash table: the sides of its planes the vector lies on, as bits."""
-    signs = plane_signs(tables * planes, dim)
-    weights = 2 ** np.arange(planes)
+def plane_count(n_vectors: int, bucket_rows: int = BUCKET_ROWS) -> int:
+    """Planes that leave about ``bucket_rows`` vectors in a bucket, so buckets do not grow with the corpus."""
+    return max(1, min(MOST_PLANES, math.ceil(math.log2(max(1, n_vectors) / bucket_rows))))
+
+
+def _probes(embedding: Column, dim: int, planes: int, n: int) -> Column:
+    """The vector's bucket and its neighbours, nearest first: ``n`` at most.
+
+    A neighbour lies beyond some of the planes; its distance is the sum of the squared margins of the
+    vector to those planes. Sets of planes are taken in the order of that sum, by a heap of
+    sets of the nearest planes that grow and shift by one.
+    """
+    signs = plane_signs(planes, dim)
+    weights = 2 ** np.arange(planes)[::-1]
 
     @F.pandas_udf("array<int>")
-    def assign(vectors):
-        import pandas as pd
+    def nearest_buckets(vectors):
+        import heapq
 
-        matrix = np.array(vectors.tolist(), dtype=np.float64).reshape(-1, dim)
-        bits = (matrix @ signs.T >= 0).reshape(-1, tables, planes)
-        return pd.Series(list((bits * weights).sum(axis=2).astype(np.int32)))
+        import pandas as pd
 
-    return assign(embedding)
+        margins = np.array(vectors.tolist(), dtype=np.float64).reshape(-1, dim) @ signs.T
+        own = (margins >= 0) @ weights
+        # crossing a plane adds or takes its weight
+        steps = np.where(margins >= 0, -weights, weights)
+        order = np.argsort(margins**2, axis=1, kind="stable")
+        out = []
+        for row, bucket in enumerate(own.tolist()):
+            cost, step = (margins[row] ** 2)[order[row]], steps[row][order[row]]
+            found, heap = [bucket], [(cost[0], (0,))]
+            while heap and len(found) < n:
+                total, crossed = heapq.heappop(heap)
+                found.append(int(bucket + sum(step[i] for i in crossed)))
+                last = crossed[-1]
+                if last + 1 < planes:
+                    heapq.heappush(heap, (total + cost[last + 1], (*crossed, last + 1)))
+                    heapq.heappush(heap, (total - cost[last] + cost[last + 1], (*crossed[:-1], last + 1)))
+            out.append(found)
+        return pd.Series(out)
+
+    return nearest_buckets(embedding)
+
+
+def hash_index(docs: DataFrame, key: str, embedding: str, dim: int, planes: int) -> DataFrame:
+    """``shelf, bucket`` and the vector, once each: the layout to store for approximate search.
+
+    To be written with ``partitionBy("shelf")``, sorted by bucket: a search then reads the shelves of its
+    buckets and skips the row groups of others.
+    """
+    usable = docs.where(fits(embedding, dim)).select(F.col(key), F.col(embedding))
+    bucketed = usable.withColumn("bucket", plane_sides(F.col(embedding), dim, planes))
+    return bucketed.withColumn("shelf", F.shiftright("bucket", max(0, planes - SHELF_PLANES)))
 
 
-def bucket_index(
-    docs: DataFrame, key: str, embedding: str, dim: int, tables: int = TABLES, planes: int = PLANES
-) -> DataFrame:
-    """Vectors once per hash table, by ``hash_table, bucket``: the layout to store for
-    approximate search, partitioned by those two so that a search reads its buckets only."""
-    usable = docs.where(F.size(embedding) == dim)
-    hashed = usable.select(key, embedding, buckets(F.col(embedding), dim, tables, planes).alias("buckets"))
-    return hashed.select(
-        key, embedding, "buckets", F.posexplode("buckets").alias("hash_table", "bucket")
-    )
+def write_hash_index(index: DataFrame, path: str) -> None:
+    layout(index, ("shelf",), ("bucket",)).write.partitionBy("shelf").parquet(path)
 
 
 def approximate_top_k(
-    queries: DataFrame,
-    index: DataFrame,
-    k: int,
-    query_key: str,
-    key: str,
-    dim: int,
-    embedding: str = "embedding",
-    tables: int = TABLES,
-    planes: int = PLANES,
+    queries: DataFrame, index: DataFrame, k: int, query_key: str, key: str, dim: int, planes: int,
+    embedding: str = "embedding", probes: int = PROBES,
 ) -> DataFrame:
-    """``query_key, key, score, rank`` among the documents sharing a bucket with the query.
+    """``query_key, key, score, rank`` among the documents in the buckets probed for the query.
 
-    A pair sharing several buckets is scored in the first of them only. Found scores are
-    exact; a near document in none of the buckets is missed.
+    Found scores are exact; a near document in a bucket that is not probed is missed. More probes find more.
     """
-    asked = queries.where(F.size(embedding) == dim).select(
-        F.col(query_key),
-        F.col(embedding).alias("_wanted"),
-        buckets(F.col(embedding), dim, tables, planes).alias("_buckets"),
+    asked = queries.where(fits(embedding, dim)).select(
+        F.col(query_key), F.col(embedding).alias("_wanted"), _probes(F.col(embedding), dim, planes, probes).alias("_buckets")
     )
-    # written out so that the planner knows their size: small probes are broadcast and
-    # prune the index's partitions, the index itself is not shuffled
-    probes = stage(asked.select("*", F.posexplode("_buckets").alias("hash_table", "bucket")), "probes")
-    met = index.join(probes, ["hash_table", "bucket"])
-    shared = F.zip_with("buckets", "_buckets", lambda a, b: a == b)
-    first = F.array_position(shared, True) == F.col("hash_table") + 1
+    # written out so that the planner knows their size: few probes are broadcast and
+    # prune the index's shelves, the index itself is not shuffled
+    opened = asked.select(query_key, "_wanted", F.explode("_buckets").alias("bucket"))
+    opened = stage(opened.withColumn("shelf", F.shiftright("bucket", max(0, planes - SHELF_PLANES))), "probes")
+    met = index.join(opened, ["shelf", "bucket"])
     score = F.round(dot(F.col(embedding), F.col("_wanted")), SCORE_DECIMALS)
-    return _rank(met.where(first).select(query_key, key, score.alias("score")), query_key, key, k)
+    return _rank(met.select(query_key, key, score.alias("score")), query_key, key, k)

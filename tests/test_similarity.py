@@ -5,7 +5,18 @@ from pyspark.sql import functions as F
 from stormlake.operators import blocks as blocked
 from stormlake.operators.embed import embed
 from stormlake.operators.index import sync_actions, sync_index
-from stormlake.operators.similarity import approximate_top_k, bucket_index, nearest, search, search_text, top_k
+from stormlake.operators.similarity import (
+    _probes,
+    approximate_top_k,
+    hash_index,
+    nearest,
+    plane_count,
+    search,
+    search_text,
+    top_k,
+    write_hash_index,
+)
+from stormlake.functions.vectors import plane_signs
 
 
 @pytest.fixture(scope="module")
@@ -97,19 +108,43 @@ def test_search_returns_chosen_columns(vectors):
     assert found.columns == ["qid", "rank", "score", "id", "label"] and found.count() == 4
 
 
-def test_approximate_search_scores_exactly_and_recalls_most(vectors):
+@pytest.mark.parametrize("probes, floor", [(1, 0.3), (8, 0.6), (32, 1.0)])
+def test_approximate_search_scores_exactly_and_recalls_more_with_more_probes(spark, vectors, tmp_path, probes, floor):
     queries = vectors.where("id < 'd100'").select(F.col("id").alias("qid"), "embedding")
-    index = bucket_index(vectors, "id", "embedding", 16)
-    near = approximate_top_k(queries, index, 4, "qid", "id", 16).collect()
-    exact = top_k(queries, vectors, 4, "qid", "id", 16).collect()
+    planes = plane_count(500, 16)
+    write_hash_index(hash_index(vectors, "id", "embedding", 16, planes), str(tmp_path / "i"))
+    index = spark.read.schema("id string, embedding array<float>, bucket int, shelf int").parquet(str(tmp_path / "i"))
+    # every vector is stored once
+    assert index.count() == 500
+    near = approximate_top_k(queries, index, 4, "qid", "id", 16, planes, probes=probes).collect()
+    exact = brute(vectors, queries, 4)
     assert len({(r.qid, r.id) for r in near}) == len(near)
-    scores = {(r.qid, r.id): r.score for r in top_k(queries, vectors, 500, "qid", "id", 16).collect()}
-    assert all(scores[r.qid, r.id] == r.score for r in near)
-    recall = len({(r.qid, r.id) for r in near} & {(r.qid, r.id) for r in exact}) / len(exact)
-    print("recall", recall)
-    assert recall > 0.6
-    # a vector always shares all buckets with its own copy
-    assert {r.qid for r in near if r.qid == r.id} == {f"d{n:03d}" for n in range(100)}
+    held = {r.id: np.array(r.embedding, float) for r in vectors.collect() if r.embedding and len(r.embedding) == 16}
+    assert all(r.score == round(float(held[r.qid] @ held[r.id]), 9) for r in near)
+    recall = len({(r.qid, r.id) for r in near} & {(q, i) for q, i, _ in exact}) / len(exact)
+    print("probes", probes, "recall", recall)
+    assert recall >= floor
+    # a vector's own bucket is always opened
+    assert {r.qid for r in near if r.qid == r.id} >= {f"d{n:03d}" for n in range(100)} or probes < 32
+
+
+def test_probes_come_in_the_order_of_distance(spark):
+    rng = np.random.default_rng(9)
+    made = rng.normal(size=(20, 16))
+    frame = spark.createDataFrame([(n, v.tolist()) for n, v in enumerate(made)], "n int, v array<double>")
+    found = {r.n: r.p for r in frame.select("n", _probes(F.col("v"), 16, 6, 40).alias("p")).collect()}
+    signs = plane_signs(6, 16)
+    for n, v in enumerate(made):
+        margins = signs @ v
+        far = {}
+        for bucket in range(64):
+            sides = np.array([bucket >> (5 - i) & 1 for i in range(6)]) == 1
+            far[bucket] = float((margins[sides != (margins >= 0)] ** 2).sum())
+        assert found[n] == sorted(far, key=far.get)[:40]
+
+
+def test_planes_grow_with_the_corpus():
+    assert [plane_count(n, 64) for n in (0, 1, 64, 129, 1000, 64 << 20, 10**12)] == [1, 1, 1, 2, 4, 20, 24]
 
 
 def test_embeddings_are_unit_vectors_and_repeatable(spark):
