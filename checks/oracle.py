@@ -281,6 +281,13 @@ def all_oracles() -> dict[str, str]:
         + 'SELECT id_, "EventID", "TyphoonName", "ObservationTime" AS "ObservationDateTime", y AS event_year FROM docs',
         "bulletin_quarantine": f"""SELECT {link} AS link, {file_name} AS file_name,
   CASE WHEN event_id % 97 = 0 THEN 'unparsable' ELSE 'ok' END AS verdict FROM events""",
+        "ingest_quarantine": f"""WITH judged AS (
+  SELECT {file_name} AS file_name, user_id, ts, CASE WHEN event_id % 97 = 0 THEN 'unparsable' WHEN event_id % 89 = 0 THEN 'no event id'
+    WHEN event_id % 83 = 0 THEN 'no sections' WHEN event_id % 79 = 0 THEN 'section without time' ELSE 'ok' END AS reason FROM events)
+SELECT file_name, reason, TRUE AS whole, CAST(1 AS BIGINT) AS n FROM judged WHERE reason <> 'ok'
+UNION ALL SELECT '', r.reason, TRUE, (SELECT count(*) FROM judged j WHERE j.reason = r.reason)
+  FROM (SELECT unnest(['ok', 'unparsable', 'no event id', 'no sections', 'section without time']) AS reason) r
+UNION ALL SELECT '', 'documents', TRUE, (SELECT count(*) FROM (SELECT DISTINCT user_id % 50, date_trunc('hour', ts) FROM judged WHERE reason = 'ok'))""",
         # filters, projections, nested extraction
         "feed_filter": r"""SELECT '台風解析・予報情報（５日予報）' AS title, url AS link,
   regexp_extract(regexp_replace(url, '/+$', ''), '[^/]*$') AS file_name FROM pages WHERE page_id % 3 = 0""",

@@ -39,7 +39,7 @@ from stormlake.operators.similarity import (
 )
 from stormlake.operators.upsert import upsert
 from stormlake.plans.answer import answer_batch, fallback_hits, structured_hits
-from stormlake.plans.ingest import documents, documents_from_payloads, observations
+from stormlake.plans.ingest import documents, documents_from_payloads, ingest, observations, read_rejected
 from stormlake.session import stage, work_path
 from stormlake.sources.archive import read_archive, write_archive
 from stormlake.sources.bulletins import parse_bulletins, read_bulletins, split_quarantine
@@ -163,6 +163,18 @@ def bulletin_stream(spark, sf):
     )
 
 
+@query("ingest_quarantine")
+def ingest_quarantine(spark, sf):
+    """What an ingest rejects, payload and all, and its counts: good and rejected ones are all that landed."""
+    landed, path = stage(fx.damaged(_landed(spark, sf)), "landed"), work_path(spark, "documents")
+    counts = ingest(spark, parse_bulletins(landed), path)
+    kept = read_rejected(spark, path).join(landed.select("link", "body"), "link")
+    rows = kept.select("file_name", "reason", (F.col("payload") == F.col("body")).alias("whole"), F.lit(1).cast("bigint").alias("n"))
+    total = spark.createDataFrame([("", r, True, n) for r, n in counts.items()], rows.schema)
+    stored = read_documents(spark, path).agg(F.count("*").alias("n"))
+    return rows.unionByName(total).unionByName(stored.select(F.lit("").alias("file_name"), F.lit("documents").alias("reason"), F.lit(True).alias("whole"), "n"))
+
+
 @query("document_scan")
 def document_scan(spark, sf):
     return _document_table(spark, sf).select(

@@ -148,6 +148,19 @@ def bulletins(events: DataFrame) -> DataFrame:
     )
 
 
+def damaged(landed: DataFrame) -> DataFrame:
+    """Bulletins of which some lack the event id, the sections, or the time of the observed section."""
+    number = F.regexp_extract("link", r"(\d+)_0_storm", 1).cast("bigint")
+    body = F.col("body")
+    for modulus, pattern, left in (
+        (89, r"<EventID>[^<]*</EventID>", "<EventID> </EventID>"),
+        (83, r"<MeteorologicalInfos>.*</MeteorologicalInfos>", ""),
+        (79, f'<DateTime type="{OBSERVED}">[^<]*', f'<DateTime type="{OBSERVED}">'),
+    ):
+        body = F.when(number % modulus == 0, F.regexp_replace(body, pattern, left)).otherwise(body)
+    return landed.withColumn("body", body)
+
+
 def feed_entries(pages: DataFrame) -> DataFrame:
     """One Atom entry per page, as XML text in column ``value``."""
     href = F.replace("url", F.lit("&"), F.lit("&amp;"))

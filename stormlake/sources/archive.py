@@ -14,10 +14,9 @@ ARCHIVE = "file_name string, link string, body string, event_year string, EventI
 def archive_rows(landed: DataFrame) -> DataFrame:
     """``(link, body)`` rows with the year and event they are filed under.
 
-    A bulletin is filed once per year its observed sections fall in.
+    A bulletin is filed once per year its observed sections fall in; rejected ones are kept by the ingest.
     """
-    payloads = landed.select("link", F.col("body").alias("payload"))
-    good, _ = split_quarantine(parse_bulletins(payloads, "payload", keep=("payload",)))
+    good, _ = split_quarantine(parse_bulletins(landed))
     sections = F.col("Body.MeteorologicalInfos.MeteorologicalInfo")
     observed = F.filter(sections, lambda s: s["DateTime"]["_type"] == OBSERVED)
     years = F.array_distinct(F.transform(observed, lambda s: event_year(s["DateTime"]["_VALUE"])))

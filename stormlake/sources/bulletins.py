@@ -14,45 +14,52 @@ XML_OPTIONS = {
 }
 
 
-def _with_origin(df: DataFrame) -> DataFrame:
-    """A bulletin read from a folder has its path as link."""
-    return df.select(
-        F.col("_metadata.file_path").alias("link"),
-        F.col("_metadata.file_name").alias("file_name"),
-        "Head",
-        "Body",
-        CORRUPT,
-    )
+#: the columns of the binary file source
+_FILE = "path string, modificationTime timestamp, length bigint, content binary"
 
+#: why a bulletin may be rejected
+REASONS = ("unparsable", "no event id", "no sections", "section without time")
 
-def _configured(reader, per_line: bool):
-    lines = reader.format("xml").options(**XML_OPTIONS).option("multiLine", not per_line)
-    return lines.schema(BULLETIN)
 
+def _payloads(reader, path: str, per_line: bool) -> DataFrame:
+    """``link, body``: the payloads of a folder; a bulletin's path is its link.
 
-def read_bulletins(spark: SparkSession, path: str, per_line: bool = False) -> DataFrame:
-    """One row per ``Report`` in the XML files below ``path``.
+    Whole files are read as they are: the source packs many small ones into a task by their size.
+    """
+    if per_line:
+        body, rows = F.col("value"), reader.format("text").load(path).where(F.trim("value") != "")
+    else:
+        files = reader.format("binaryFile").schema(_FILE).load(path)
+        body, rows = F.make_valid_utf8(F.col("content").cast("string")), files
+    return rows.select(F.col("_metadata.file_path").alias("link"), F.regexp_replace(body, "^\ufeff", "").alias("body"))
 
-    A file is one XML document. With ``per_line`` every line of a file is a bulletin of
+
+def read_payloads(spark: SparkSession, path: str, per_line: bool = False) -> DataFrame:
+    """``link, body`` of every bulletin below ``path``, in UTF-8.
+
+    A file is one XML document of any number of lines. With ``per_line`` every line of a file is a bulletin of
     its own: such packed files are split between tasks, and a broken line spoils no other.
     """
-    return _with_origin(_configured(spark.read, per_line).load(path))
+    return _payloads(spark.read, path, per_line)
+
+
+def read_bulletins(spark: SparkSession, path: str, per_line: bool = False) -> DataFrame:
+    """The parsed bulletins below ``path``, each with its payload."""
+    return parse_bulletins(read_payloads(spark, path, per_line))
 
 
 def stream_bulletins(
     spark: SparkSession, path: str, per_line: bool = False, files_per_trigger: int | None = None
 ) -> DataFrame:
     """Newly landed bulletins as a stream, in the same shape as :func:`read_bulletins`."""
-    reader = _configured(spark.readStream, per_line)
+    reader = spark.readStream
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return _with_origin(reader.load(path))
+    return parse_bulletins(_payloads(reader, path, per_line))
 
 
-def parse_bulletins(
-    df: DataFrame, body: str = "body", link: str = "link", keep: tuple[str, ...] = ()
-) -> DataFrame:
-    """Parse payloads held in column ``body``, passing the ``keep`` columns through.
+def parse_bulletins(df: DataFrame, body: str = "body", link: str = "link") -> DataFrame:
+    """Parse payloads held in column ``body``; they stay in the rows as ``payload``.
 
     ``inline`` makes the parse a generator: predicates on the parsed fields stay above
     it, so every payload is parsed once.
@@ -61,7 +68,7 @@ def parse_bulletins(
     return df.select(
         F.col(link).alias("link"),
         link_filename(F.col(link)).alias("file_name"),
-        *keep,
+        F.col(body).alias("payload"),
         F.inline(F.array(report)),
     )
 
@@ -74,19 +81,27 @@ def _bad_reason() -> Column:
         | ((s["DateTime"]["_type"] == OBSERVED) & blank_to_null(s["DateTime"]["_VALUE"]).isNull()),
     )
     return (
-        F.when(F.col(CORRUPT).isNotNull(), F.lit("unparsable"))
-        .when(blank_to_null(F.col("Head.EventID")).isNull(), F.lit("no event id"))
-        .when(sections.isNull(), F.lit("no sections"))
-        .when(timeless, F.lit("section without time"))
+        F.when(F.col(CORRUPT).isNotNull(), F.lit(REASONS[0]))
+        .when(blank_to_null(F.col("Head.EventID")).isNull(), F.lit(REASONS[1]))
+        .when(sections.isNull(), F.lit(REASONS[2]))
+        .when(timeless, F.lit(REASONS[3]))
     )
 
 
-def split_quarantine(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Split parsed bulletins into usable and rejected ones; the latter with a reason.
+def judge_bulletins(df: DataFrame) -> DataFrame:
+    """Add ``reason``: why a bulletin cannot be used, null for a good one.
 
     A bulletin without a key must not pass: a null key never matches an upsert.
     """
-    judged = df.withColumn("reason", _bad_reason())
+    return df.withColumn("reason", _bad_reason())
+
+
+def split_judged(judged: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Usable bulletins, and rejected ones as ``link, file_name, reason, payload``."""
     good = judged.where(F.col("reason").isNull()).drop("reason", CORRUPT)
-    bad = judged.where(F.col("reason").isNotNull()).select("link", "file_name", "reason", CORRUPT)
-    return good, bad
+    return good, judged.where(F.col("reason").isNotNull()).select("link", "file_name", "reason", "payload")
+
+
+def split_quarantine(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Split parsed bulletins into usable and rejected ones; the latter with reason and payload."""
+    return split_judged(judge_bulletins(df))

@@ -5,9 +5,9 @@ import pytest
 from bulletin_text import bulletin, centre, name, section
 from stormlake.operators.changes import apply_changes, change_feed
 from stormlake.operators.upsert import upsert
-from stormlake.plans.ingest import announced, documents, documents_from_payloads
+from stormlake.plans.ingest import announced, documents, documents_from_payloads, ingest, read_rejected
 from stormlake.sources.archive import read_archive, write_archive
-from stormlake.sources.bulletins import read_bulletins, split_quarantine
+from stormlake.sources.bulletins import REASONS, parse_bulletins, read_bulletins, split_quarantine
 from stormlake.sources.feed import read_feed, storm_entries
 from stormlake.sources.tables import read_documents
 from stormlake.streaming.ingest import ingest_landed
@@ -186,3 +186,41 @@ def test_centre_only_bulletin_goes_through(spark, tmp_path):
     body = bulletin(section("2024-08-28T13:00:00+09:00", centre()))
     upsert(spark, documents_from_payloads(landed(spark, body)), path)
     assert read_documents(spark, path).first().TyphoonName is None
+
+
+def test_ingest_keeps_what_it_rejects(spark, tmp_path):
+    path = str(tmp_path / "t")
+    bodies = [
+        made("A"), "<Report><Head>", made("B", event=" "), bulletin(event="TC02"),
+        bulletin(section(" ", name("C")), event="TC03"), made("D", hour=15), "",
+    ]
+    counts = ingest(spark, parse_bulletins(landed(spark, *bodies)), path, run="one")
+    assert sum(counts.values()) == len(bodies)
+    rejected = {(r.file_name, r.reason, r.payload, r.run) for r in read_rejected(spark, path).collect()}
+    assert {(n, p) for n, _, p, _ in rejected} == {(f"f{n}.xml", bodies[n]) for n in (1, 2, 3, 4, 6)}
+    assert {r for _, r, _, _ in rejected} == set(REASONS) and {r for *_, r in rejected} == {"one"}
+    assert counts["ok"] == 2 and read_documents(spark, path).count() == 2
+    # the same run again replaces its own, another one is kept beside it
+    ingest(spark, parse_bulletins(landed(spark, *bodies)), path, run="one")
+    ingest(spark, parse_bulletins(landed(spark, *bodies[1:2])), path, run="two")
+    assert sorted(r.run for r in read_rejected(spark, path).collect()) == ["one"] * 5 + ["two"]
+    assert read_documents(spark, path).count() == 2
+
+
+def test_stream_keeps_what_it_rejects(spark, tmp_path):
+    folder, table, offsets = tmp_path / "in", str(tmp_path / "t"), str(tmp_path / "c")
+    for drop in ({"a": made("A"), "x": "<Report>"}, {"y": "<Report>\n<Head>"}, {"b": made("B", hour=14)}):
+        land(folder, **drop)
+        ingest_landed(spark, str(folder), table, offsets).awaitTermination()
+    rejected = read_rejected(spark, table).collect()
+    assert sorted((r.file_name, r.payload) for r in rejected) == [("x.xml", "<Report>"), ("y.xml", "<Report>\n<Head>")]
+    assert len({r.run for r in rejected}) == 2 and read_documents(spark, table).count() == 2
+
+
+def test_a_folder_is_read_whole_and_marked_files_too(spark, tmp_path):
+    folder = tmp_path / "in"
+    land(folder, marked="﻿" + PRETTY, plain=PRETTY, empty="")
+    good, bad = split_quarantine(read_bulletins(spark, str(folder)))
+    assert good.count() == 2
+    # the source passes over files without a byte
+    assert bad.count() == 0
