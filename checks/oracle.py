@@ -366,6 +366,7 @@ SELECT coalesce(n.doc_id, o.doc_id) AS doc_id, coalesce(n.h, o.h) AS text_hash,
   CASE WHEN o.h IS NULL THEN 'insert' WHEN n.h IS NULL THEN 'delete' WHEN n.h = o.h THEN 'keep' ELSE 'update' END AS action,
   n.h IS NOT NULL AS indexed
 FROM n FULL JOIN o ON n.doc_id = o.doc_id""",
+        "index_sync": _with(_RAW, _DOCS) + "SELECT k AS unique_event_id, sha256(txt) AS text_hash, CAST(64 AS INTEGER) AS dim FROM docs",
         "similarity_topk": _with(_CENTROIDS, _SCORES, _top(4)) + "SELECT * FROM best",
         "retriever_k3": _with(_CENTROIDS, _SCORES, _top(3))
         + """SELECT b.query_label, b.rank, b.score, e.vec_id, e.label,

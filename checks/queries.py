@@ -16,7 +16,7 @@ from stormlake.operators.context import answer_prompts, assemble_context
 from stormlake.operators.dedup import latest_observations
 from stormlake.operators.documents import document_rows
 from stormlake.operators.embed import embed
-from stormlake.operators.index import sync_actions, sync_index
+from stormlake.operators.index import read_index, sync_actions, sync_index, sync_stored_index
 from stormlake.operators.merge import read_changes
 from stormlake.operators.questions import (
     gate,
@@ -419,6 +419,17 @@ def embedding_sync(spark, sf):
     )
 
 
+@query("index_sync")
+def index_sync(spark, sf):
+    """The stored index after three batches, synced from the changes of each."""
+    landed, documents, index = stage(_landed(spark, sf), "landed"), work_path(spark, "documents"), work_path(spark, "index")
+    third = F.pmod(F.xxhash64("link"), F.lit(3))
+    for number in range(3):
+        ingest(spark, parse_bulletins(landed.where(third == number)), documents)
+        sync_stored_index(spark, documents, index)
+    return read_index(spark, index).select("unique_event_id", "text_hash", F.size("embedding").alias("dim"))
+
+
 @query("similarity_topk")
 def similarity_topk(spark, sf):
     vectors = fx.table(spark, sf, "embeddings")
