@@ -24,7 +24,7 @@ from tokenizers import Tokenizer
 from stormlake.llm.words import Words
 
 #: segments whose ids a worker keeps, some 40 bytes each
-REMEMBERED = 1 << 20
+REMEMBERED = 1 << 19
 
 #: fixed value: how the byte-level pre-tokenizer cuts a text
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
