@@ -10,7 +10,8 @@ Largest inner product becomes least distance by one more component, sqrt(M^2 - |
 longest norm. Centroids are fitted on a bounded sample; every vector is indexed. Only centroids and list sizes
 (``MOST_LISTS`` rows at most) are on the driver or broadcast. Lists and their queries meet in cells of about ``CELL`` vectors
 and queries: a list that holds a third of all vectors, or that a third of all queries read, is
-split into as many cells as it needs.
+split into as many cells as it needs. A query meets its nearest lists first; from the others only vectors that score
+no less than the kth found there leave their cell.
 """
 
 from __future__ import annotations
@@ -226,30 +227,38 @@ def search_lists(index: PostingLists, queries: DataFrame, k: int = 20, ratio: fl
                 rows, at = np.nonzero(chosen)
                 take = pa.array(rows + begin)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(order[rows, at], pa.int32()), batch.column("key").take(take), batch.column("vector").take(take)],
-                    names=["list", "query_id", "query"],
+                    [
+                        pa.array(order[rows, at], pa.int32()), batch.column("key").take(take), batch.column("vector").take(take),
+                        pa.array((before < need)[rows, at]),
+                    ],
+                    names=["list", "query_id", "query", "first"],
                 )
 
     schema = T.StructType([
         T.StructField("list", T.IntegerType()), T.StructField("query_id", kind), T.StructField("query", T.ArrayType(T.DoubleType())),
+        T.StructField("first", T.BooleanType()),
     ])
     probes = stage(queries.select("key", "vector").mapInArrow(probed, schema), "ann-probes")
-    asked = probes.groupBy("list").count().select("list", F.ceil(F.col("count") / CELL).cast("int").alias("query_cells"))
     held = index.lists.groupBy("list").count().select("list", F.ceil(F.col("count") / CELL).cast("int").alias("vector_cells"))
-    # a row per list, MOST_LISTS at most
-    cells = F.broadcast(asked.join(F.broadcast(held), "list"))
-    vectors = (
-        index.lists.join(cells, "list")
-        .withColumn("a", F.pmod(F.xxhash64("key"), F.col("vector_cells")).cast("int"))
-        .withColumn("b", F.explode(F.sequence(F.lit(0), F.col("query_cells") - 1)))
-        .select("list", "a", "b", "key", "vector")
-    )
-    wanted = (
-        probes.join(cells, "list")
-        .withColumn("b", F.pmod(F.xxhash64("query_id"), F.col("query_cells")).cast("int"))
-        .withColumn("a", F.explode(F.sequence(F.lit(0), F.col("vector_cells") - 1)))
-        .select("list", "a", "b", "query_id", "query")
-    )
+
+    def in_cells(some: DataFrame):
+        """Vectors and queries of every list, dealt over cells of which each pair meets once."""
+        asked = some.groupBy("list").count().select("list", F.ceil(F.col("count") / CELL).cast("int").alias("query_cells"))
+        # a row per list, MOST_LISTS at most
+        cells = F.broadcast(asked.join(F.broadcast(held), "list"))
+        vectors = (
+            index.lists.join(cells, "list")
+            .withColumn("a", F.pmod(F.xxhash64("key"), F.col("vector_cells")).cast("int"))
+            .withColumn("b", F.explode(F.sequence(F.lit(0), F.col("query_cells") - 1)))
+            .select("list", "a", "b", "key", "vector")
+        )
+        wanted = (
+            some.join(cells, "list")
+            .withColumn("b", F.pmod(F.xxhash64("query_id"), F.col("query_cells")).cast("int"))
+            .withColumn("a", F.explode(F.sequence(F.lit(0), F.col("vector_cells") - 1)))
+            .drop("first", "query_cells", "vector_cells")
+        )
+        return vectors.groupBy("list", "a", "b").cogroup(wanted.groupBy("list", "a", "b"))
 
     def scored(cell, left, right):
         """The best of a cell for each of its queries: a row per query."""
@@ -277,15 +286,44 @@ def search_lists(index: PostingLists, queries: DataFrame, k: int = 20, ratio: fl
             names[2]: pa.array(out_scores, pa.list_(pa.float64())),
         })
 
+    def above(cell, left, right):
+        """The vectors of a cell that score no less than a query's kth so far: a row per query with any."""
+        names, kind_of = ["query_id", "keys", "scores"], left.schema.field("key").type
+        asked, floor = right.column("query_id").combine_chunks(), right.column("floor").to_numpy()
+        if not left.num_rows or not right.num_rows:
+            return pa.table({names[0]: asked.slice(0, 0), names[1]: pa.array([], pa.list_(kind_of)), names[2]: pa.array([], pa.list_(pa.float64()))})
+        matrix, wanted = _matrix(left.column("vector")), _matrix(right.column("query"))
+        rough = wanted @ matrix.T
+        slack = 1e-9 * (1 + np.abs(rough).max(axis=1))
+        place = {key: at for at, key in enumerate(left.column("key").to_pylist())}
+        for i, own in enumerate(asked.to_pylist()):
+            if own in place:
+                rough[i, place[own]] = -np.inf
+        row, at = np.nonzero((rough >= (floor - slack)[:, None]) & (rough > -np.inf))
+        exact = np.einsum("ij,ij->i", matrix[at], wanted[row])
+        with_any, first = np.unique(row, return_index=True)
+        offsets = pa.array(np.append(first, len(row)), pa.int32())
+        keys = left.column("key").combine_chunks().take(pa.array(at))
+        return pa.table({
+            names[0]: asked.take(pa.array(with_any)), names[1]: pa.ListArray.from_arrays(offsets, keys),
+            names[2]: pa.ListArray.from_arrays(offsets, pa.array(exact)),
+        })
+
     key_kind = index.lists.schema["key"].dataType
     result = T.StructType([
         T.StructField("query_id", kind), T.StructField("keys", T.ArrayType(key_kind)), T.StructField("scores", T.ArrayType(T.DoubleType())),
     ])
-    best = vectors.groupBy("list", "a", "b").cogroup(wanted.groupBy("list", "a", "b")).applyInArrow(scored, result)
     # least negative score first, then key; a vector found in several lists has one score
     hits = F.transform(F.arrays_zip("keys", "scores"), lambda h: F.struct((F.lit(0.0) - h["scores"]).alias("far"), h["keys"].alias("key")))
     merged = lambda column: F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list(column)))), 1, k)
-    parted = best.select("query_id", hits.alias("hits"), F.pmod(F.xxhash64("keys"), F.lit(16)).alias("_part"))
+    # the nearest lists first: what scores below the kth found there need not leave its cell
+    nearest = in_cells(probes.where("first")).applyInArrow(scored, result)
+    nearest = stage(nearest.select("query_id", hits.alias("hits")).groupBy("query_id").agg(merged("hits").alias("hits")), "ann-nearest")
+    floor = F.when(F.size("hits") >= k, F.lit(0.0) - F.get("hits", F.lit(k - 1))["far"]).otherwise(F.lit(float("-inf")))
+    others = probes.where("NOT first").join(nearest.select("query_id", floor.alias("floor")), "query_id", "left")
+    others = others.withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
+    best = in_cells(others).applyInArrow(above, result).select("query_id", hits.alias("hits"))
+    parted = best.unionByName(nearest).withColumn("_part", F.pmod(F.xxhash64("hits"), F.lit(16)))
     parted = parted.groupBy("query_id", "_part").agg(merged("hits").alias("hits"))
     final = parted.groupBy("query_id").agg(merged("hits").alias("hits"))
     return final.select("query_id", F.posexplode("hits").alias("_at", "hit")).select(
