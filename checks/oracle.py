@@ -394,6 +394,7 @@ SELECT question_id + 1000000, nn, CASE (question_id + 1000000) % 12
     WHEN 6 THEN TIMESTAMP '2199-12-31 23:59:59' WHEN 7 THEN TIMESTAMP '2199-12-31 23:59:59'
     WHEN 8 THEN d - INTERVAL 1 SECOND WHEN 11 THEN (d + 1) + INTERVAL 1275 MINUTE END,
   CAST(CASE WHEN (question_id + 1000000) % 12 = 10 THEN 2 ELSE 3 END AS INTEGER) FROM q""",
+        # fixed value: the pattern of the gate
         "question_gate": _with(_RAW, _DOCS, _QUESTIONS)
         + r"""SELECT question_id, parsed, regexp_full_match(parsed,
   '(None|[\w\s]+), (None|\d{4}-\d{2}-\d{2}(T\d{2}:\d{2}:\d{2})?)?(, (''''|None|\d{4}-\d{2}-\d{2}(T\d{2}:\d{2}:\d{2})?))?') AS gate_ok FROM q""",

@@ -72,10 +72,7 @@ BAD_TIME = "Unknown"
 # --- fixed values: parsed-question format ----------------------------------
 # "<name>, (None|date|datetime)?[, (''|None|date|datetime)]"; (?U) lets \w and
 # \d cover all of Unicode.
-_MOMENT = r"\d{4}-\d{2}-\d{2}(?:T\d{2}:\d{2}:\d{2})?"
-QUESTION_GATE = (
-    r"(?U)^(?:None|[\w\s]+), (?:None|" + _MOMENT + r")?(?:, (?:''|None|" + _MOMENT + r"))?$"
-)
+QUESTION_GATE = r"(?U)^(?:None|[\w\s]+), (?:None|\d{4}-\d{2}-\d{2}(?:T\d{2}:\d{2}:\d{2})?)?(?:, (?:''|None|\d{4}-\d{2}-\d{2}(?:T\d{2}:\d{2}:\d{2})?))?$"
 
 # --- fixed values: answer prompt -------------------------------------------
 ANSWER_PROMPT = """

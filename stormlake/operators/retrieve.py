@@ -98,18 +98,18 @@ def _year(time: Column, days: int) -> Column:
     return F.year(F.date_add(time.cast("date"), days))
 
 
-def match_questions(bounded: DataFrame, documents: DataFrame) -> DataFrame:
+def match_questions(bounded: DataFrame, documents: DataFrame, names: DataFrame | None = None) -> DataFrame:
     """All documents of all questions: ``question_id, mode`` and the document columns.
 
     ``bounded`` holds ``question_id, name, mode, lo, hi``. Names are resolved on distinct
-    names. Every window becomes the years it covers, of those that the table has: documents are
+    names; a caller that has them at hand spares a scan of the documents. Every window becomes the years it covers, of those that the table has: documents are
     met on name and year, with the window as a filter of the join, so years are pruned at run time for
     short, long and open windows alike. A question without a window also meets documents of no readable year.
     The resolved questions are written out first: their size is then known to the
     planner, which broadcasts them only if they are small and else shuffles both sides.
     """
     asked = bounded.select("question_id", "name", "mode", "lo", "hi")
-    resolved = asked.join(match_names(asked, storm_names(documents)), "name").drop("name")
+    resolved = asked.join(match_names(asked, names if names is not None else storm_names(documents)), "name").drop("name")
     named = stage(resolved, "resolved")
     # the partition column alone: first and last readable year of the table
     held = documents.where(F.col("event_year") != NO_YEAR).select(F.col("event_year").try_cast("int").alias("y"))

@@ -13,8 +13,8 @@ from ..session import stage
 HIT = ("question_id", "mode", "place", "obs_jst", "id_", "Text", "text_chars")
 
 
-def structured_hits(bounded: DataFrame, documents: DataFrame) -> DataFrame:
-    return match_questions(bounded, documents).withColumn("place", F.lit(0))
+def structured_hits(bounded: DataFrame, documents: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    return match_questions(bounded, documents, names).withColumn("place", F.lit(0))
 
 
 def fallback_hits(
@@ -36,10 +36,10 @@ def fallback_hits(
     return hits.withColumn("mode", F.lit("similar"))
 
 
-def all_hits(questions: DataFrame, documents: DataFrame, index: DataFrame) -> DataFrame:
+def all_hits(questions: DataFrame, documents: DataFrame, index: DataFrame, names: DataFrame | None = None) -> DataFrame:
     """Documents of every question with ``parsed``, by window or else by similarity."""
     bounded, failed = resolve_questions(questions)
-    by_window = structured_hits(bounded, documents).select(*HIT)
+    by_window = structured_hits(bounded, documents, names).select(*HIT)
     by_likeness = fallback_hits(failed, documents, index).select(*HIT)
     return by_window.unionByName(by_likeness)
 
@@ -60,8 +60,10 @@ def answer_batch(
     Questions that come with ``parsed`` keep it. The others are parsed once, ahead of
     the branches that need them.
     """
+    # read once: they name the storms in the questions and resolve them in the documents
+    names = stage(storm_names(documents), "names")
     if "parsed" not in questions.columns:
-        questions = stage(parse_questions(questions, storm_names(documents)), "parsed")
-    contexts = assemble_context(all_hits(questions, documents, index))
+        questions = stage(parse_questions(questions, names), "parsed")
+    contexts = assemble_context(all_hits(questions, documents, index, names))
     answered = answer_prompts(question_modes(questions), contexts)
     return answered.select("question_id", "mode", "part", "context", "prompt")

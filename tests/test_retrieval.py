@@ -158,6 +158,7 @@ def test_gate(spark, parsed, ok):
     assert gate(frame).first().gate_ok is ok
 
 
+# fixed values: published question wordings and their parse
 GOLDEN = [
     ("what is the Shanshan position on 28 Oct 2024 1pm?", "Shanshan, 2024-10-28T13:00:00, None"),
     (
