@@ -90,9 +90,6 @@ class Words:
             begin = stop
         return mixed(out)
 
-    def text(self, word: int) -> str:
-        return self.raw[self.start[word] : self.end[word]].tobytes().decode("utf-8", "replace")
-
 
 _kept_powers: dict[int, np.ndarray] = {}
 
@@ -146,15 +143,3 @@ def chunks(batches, sized_by: str, most_bytes: int) -> Iterator[pa.RecordBatch]:
             stop = min(max(stop, begin + 1), batch.num_rows)
             yield batch.slice(begin, stop - begin)
             begin = stop
-
-
-def merged_runs(starts: np.ndarray, length: int, total: int) -> np.ndarray:
-    """Which of ``total`` positions lie in a run of ``length`` from one of ``starts``."""
-    edges = np.zeros(total + 1, dtype=np.int64)
-    np.add.at(edges, starts, 1)
-    np.add.at(edges, np.minimum(starts + length, total), -1)
-    return np.cumsum(edges[:-1]) > 0
-
-
-def string_column(texts: list) -> pa.Array:
-    return pa.array(texts, type=pa.string())
