@@ -12,12 +12,13 @@ from stormlake.functions.text import clean_sections, link_filename, stable_bucke
 from stormlake.functions.times import event_year, observation_date, observation_time, tokyo_time
 from stormlake.functions.names import normal_name
 from stormlake.operators import extract
-from stormlake.operators.context import answer_prompts, assemble_context
+from stormlake.operators.context import answer_prompts
 from stormlake.operators.dedup import latest_observations
 from stormlake.operators.documents import document_rows
 from stormlake.operators.embed import embed
 from stormlake.operators.index import read_index, sync_actions, sync_index, sync_stored_index
 from stormlake.operators.merge import read_changes
+from stormlake.operators.name_index import read_names, sync_names
 from stormlake.operators.questions import (
     gate,
     parse_questions,
@@ -38,7 +39,8 @@ from stormlake.operators.similarity import (
     write_hash_index,
 )
 from stormlake.operators.upsert import upsert
-from stormlake.plans.answer import answer_batch, fallback_hits, structured_hits
+from stormlake.operators.windows import window_contexts
+from stormlake.plans.answer import answer_batch, fallback_hits
 from stormlake.plans.ingest import documents, documents_from_payloads, ingest, observations, read_rejected
 from stormlake.session import stage, work_path
 from stormlake.sources.archive import read_archive, write_archive
@@ -98,9 +100,13 @@ def _documents(spark: SparkSession, sf: str) -> DataFrame:
 
 def _document_table(spark: SparkSession, sf: str) -> DataFrame:
     """The published table, as retrieval jobs find it."""
+    return read_documents(spark, _published(spark, sf))
+
+
+def _published(spark: SparkSession, sf: str) -> str:
     path = work_path(spark, "documents")
     write_documents(_documents(spark, sf), path)
-    return read_documents(spark, path)
+    return path
 
 
 def _questions(documents: DataFrame) -> DataFrame:
@@ -508,7 +514,11 @@ def obs_jst(spark, sf):
 
 @query("name_match")
 def name_match(spark, sf):
-    names = stage(storm_names(_documents(spark, sf)), "names")
+    """Wanted names against the names that the table keeps, after its announcements and then its corrections."""
+    path = work_path(spark, "documents")
+    for part in _corrections(_landed(spark, sf)):
+        upsert(spark, documents_from_payloads(part), path)
+    names = read_names(spark, path)
     name = F.col("TyphoonName")
     spellings = [
         name, F.replace(name, F.lit("-"), F.lit(" ")), F.replace(name, F.lit("-"), F.lit("")),
@@ -556,7 +566,7 @@ def _contexts(spark, sf):
     docs = _document_table(spark, sf)
     asked = _questions(docs)
     bounded, _ = resolve_questions(asked)
-    return asked, assemble_context(structured_hits(bounded, docs))
+    return asked, window_contexts(bounded, docs)
 
 
 @query("context_assembly")
@@ -575,10 +585,12 @@ def answer_prompt(spark, sf):
 
 @query("answer_batch")
 def answer_batch_(spark, sf):
-    docs = _document_table(spark, sf)
+    path = _published(spark, sf)
+    sync_names(spark, path)
+    docs = read_documents(spark, path)
     asked = _questions(docs).select("question_id", "question")
     index = _index(docs)
-    answers = answer_batch(asked, docs, index)
+    answers = answer_batch(asked, docs, index, read_names(spark, path))
     return answers.select(
         "question_id", "mode", "part",
         F.md5("context").alias("context_md5"), F.md5("prompt").alias("prompt_md5"),

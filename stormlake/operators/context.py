@@ -7,7 +7,7 @@ where the texts of the day before it reach another ``SLICE_CHARS``. Nothing is l
 joining the parts of a question in the order of ``part`` with one space gives its whole context.
 """
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import ANSWER_PROMPT
@@ -17,9 +17,10 @@ SLICE_CHARS = 4_000_000
 _NO_TIME = "9999-12-31 23:59:59.999999"
 
 
-def _instant():
-    """Sort text of the observation time; rows without one come last."""
-    return F.coalesce(F.rpad(F.col("obs_jst").cast("string"), 26, " "), F.lit(_NO_TIME))
+def instant(time: Column | None = None) -> Column:
+    """Sort text of a time, by default the observation time; rows without one come last."""
+    time = F.col("obs_jst") if time is None else time
+    return F.coalesce(F.rpad(time.cast("string"), 26, " "), F.lit(_NO_TIME))
 
 
 def assemble_context(hits: DataFrame, slice_chars: int = SLICE_CHARS) -> DataFrame:
@@ -28,10 +29,10 @@ def assemble_context(hits: DataFrame, slice_chars: int = SLICE_CHARS) -> DataFra
     ``hits`` holds ``question_id, place, obs_jst, id_, Text, text_chars``. ``part`` is place, day and
     slice; texts without a time share the last day, 9999-12-31.
     """
-    day = F.substring(_instant(), 1, 10)
+    day = F.substring(instant(), 1, 10)
     placed = hits.select(
         "question_id", F.lpad(F.col("place").cast("string"), 6, "0").alias("place"), day.alias("day"), "text_chars",
-        F.struct(_instant().alias("instant"), "id_", "Text").alias("entry"),
+        F.struct(instant().alias("instant"), "id_", "Text").alias("entry"),
     )
     order = Window.partitionBy("question_id", "place", "day").orderBy("entry.instant", "entry.id_")
     before = F.sum(F.col("text_chars") + 1).over(order.rowsBetween(Window.unboundedPreceding, -1))

@@ -61,24 +61,20 @@ def _name_grams(text: Column) -> Column:
     return F.concat(F.array(F.lit("")), F.flatten(runs))
 
 
+def spelled_grams(name: Column) -> Column:
+    """The runs of a storm name's characters, with and without its hyphens, that a wanted name may begin with."""
+    return F.array_distinct(F.concat(_name_grams(name), _name_grams(without_hyphen(name))))
+
+
 def match_names(wanted: DataFrame, names: DataFrame) -> DataFrame:
     """``name, TyphoonName`` for every storm name a wanted name matches.
 
     Both sides are distinct names. A wanted name can only occur in a storm name that
     holds its first three characters, so the two meet on those and the match itself is
-    checked on the survivors.
+    checked on the survivors. Stored names (``read_names``) bring their ``grams`` with them.
     """
-    indexed = names.select(
-        "TyphoonName",
-        F.explode(
-            F.array_distinct(
-                F.concat(
-                    _name_grams(F.col("TyphoonName")),
-                    _name_grams(without_hyphen(F.col("TyphoonName"))),
-                )
-            )
-        ).alias("gram"),
-    )
+    grams = F.col("grams") if "grams" in names.columns else spelled_grams(F.col("TyphoonName"))
+    indexed = names.select("TyphoonName", F.explode(grams).alias("gram"))
     probes = wanted.select("name").distinct().select(
         "name",
         F.explode(
@@ -98,6 +94,23 @@ def _year(time: Column, days: int) -> Column:
     return F.year(F.date_add(time.cast("date"), days))
 
 
+def covered_years(documents: DataFrame, lo: Column, hi: Column) -> Column:
+    """The years that a window covers, of those that the table has; a null side is open.
+
+    A window without bounds also takes documents of no readable year.
+    """
+    # the partition column alone: first and last readable year of the table
+    held = documents.where(F.col("event_year") != NO_YEAR).select(F.col("event_year").try_cast("int").alias("y"))
+    span = held.agg(F.min("y").alias("first"), F.max("y").alias("last")).first()
+    first, last = (span["first"], span["last"]) if span["first"] is not None else (1, 0)
+    # an event's year is of its own zone, less than two days from Tokyo time
+    begin = F.greatest(F.coalesce(_year(lo, -2), F.lit(first)), F.lit(first))
+    end = F.least(F.coalesce(_year(hi, 2), F.lit(last)), F.lit(last))
+    covered = F.transform(F.sequence(begin, end), lambda y: F.lpad(y.cast("string"), 4, "0"))
+    years = F.when(begin <= end, covered).otherwise(F.array().cast("array<string>"))
+    return F.when(lo.isNull() & hi.isNull(), F.concat(years, F.array(F.lit(NO_YEAR)))).otherwise(years)
+
+
 def match_questions(bounded: DataFrame, documents: DataFrame, names: DataFrame | None = None) -> DataFrame:
     """All documents of all questions: ``question_id, mode`` and the document columns.
 
@@ -111,17 +124,7 @@ def match_questions(bounded: DataFrame, documents: DataFrame, names: DataFrame |
     asked = bounded.select("question_id", "name", "mode", "lo", "hi")
     resolved = asked.join(match_names(asked, names if names is not None else storm_names(documents)), "name").drop("name")
     named = stage(resolved, "resolved")
-    # the partition column alone: first and last readable year of the table
-    held = documents.where(F.col("event_year") != NO_YEAR).select(F.col("event_year").try_cast("int").alias("y"))
-    span = held.agg(F.min("y").alias("first"), F.max("y").alias("last")).first()
-    first, last = (span["first"], span["last"]) if span["first"] is not None else (1, 0)
-    # an event's year is of its own zone, less than two days from Tokyo time
-    begin = F.greatest(F.coalesce(_year(F.col("lo"), -2), F.lit(first)), F.lit(first))
-    end = F.least(F.coalesce(_year(F.col("hi"), 2), F.lit(last)), F.lit(last))
-    covered = F.transform(F.sequence(begin, end), lambda y: F.lpad(y.cast("string"), 4, "0"))
-    years = F.when(begin <= end, covered).otherwise(F.array().cast("array<string>"))
-    open_window = F.col("lo").isNull() & F.col("hi").isNull()
-    years = F.when(open_window, F.concat(years, F.array(F.lit(NO_YEAR)))).otherwise(years)
+    years = covered_years(documents, F.col("lo"), F.col("hi"))
     # the planner prunes years at run time for a side that has a filter of its own
     keyed = named.where(F.size(years) > 0).withColumn("event_year", F.explode(years))
     within = (F.col("lo").isNull() | (F.col("obs_jst") >= F.col("lo"))) & (

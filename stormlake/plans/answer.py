@@ -8,6 +8,7 @@ from ..operators.embed import DIMENSIONS, embed
 from ..operators.questions import parse_questions, resolve_questions, storm_names
 from ..operators.retrieve import match_questions
 from ..operators.similarity import RETRIEVER_K, top_k
+from ..operators.windows import window_contexts
 from ..session import stage
 
 HIT = ("question_id", "mode", "place", "obs_jst", "id_", "Text", "text_chars")
@@ -36,11 +37,11 @@ def fallback_hits(
     return hits.withColumn("mode", F.lit("similar"))
 
 
-def all_hits(questions: DataFrame, documents: DataFrame, index: DataFrame, names: DataFrame | None = None) -> DataFrame:
-    """Documents of every question with ``parsed``, by window or else by similarity."""
+def all_contexts(questions: DataFrame, documents: DataFrame, index: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """The contexts of every question with ``parsed``, by window or else by similarity."""
     bounded, failed = resolve_questions(questions)
-    by_window = structured_hits(bounded, documents, names).select(*HIT)
-    by_likeness = fallback_hits(failed, documents, index).select(*HIT)
+    by_window = window_contexts(bounded, documents, names)
+    by_likeness = assemble_context(fallback_hits(failed, documents, index).select(*HIT))
     return by_window.unionByName(by_likeness)
 
 
@@ -53,17 +54,18 @@ def question_modes(questions: DataFrame) -> DataFrame:
 
 
 def answer_batch(
-    questions: DataFrame, documents: DataFrame, index: DataFrame
+    questions: DataFrame, documents: DataFrame, index: DataFrame, names: DataFrame | None = None
 ) -> DataFrame:
     """``question_id, mode, part, context, prompt`` for questions in plain text.
 
     Questions that come with ``parsed`` keep it. The others are parsed once, ahead of
-    the branches that need them.
+    the branches that need them. ``names`` are the stored ones (``read_names``); without them the documents are
+    scanned for theirs.
     """
     # read once: they name the storms in the questions and resolve them in the documents
-    names = stage(storm_names(documents), "names")
+    names = names if names is not None else stage(storm_names(documents), "names")
     if "parsed" not in questions.columns:
         questions = stage(parse_questions(questions, names), "parsed")
-    contexts = assemble_context(all_hits(questions, documents, index, names))
+    contexts = all_contexts(questions, documents, index, names)
     answered = answer_prompts(question_modes(questions), contexts)
     return answered.select("question_id", "mode", "part", "context", "prompt")
