@@ -281,6 +281,17 @@ def all_oracles() -> dict[str, str]:
         + 'SELECT id_, "EventID", "TyphoonName", "ObservationTime" AS "ObservationDateTime", y AS event_year FROM docs',
         "bulletin_quarantine": f"""SELECT {link} AS link, {file_name} AS file_name,
   CASE WHEN event_id % 97 = 0 THEN 'unparsable' ELSE 'ok' END AS verdict FROM events""",
+        "bulletin_folder": f"""SELECT {file_name} AS file_name,
+  CASE WHEN event_id % 97 <> 0 THEN 'TC' || lpad(CAST(user_id % 50 AS VARCHAR), 4, '0') END AS "EventID",
+  CASE WHEN event_id % 97 <> 0 THEN CAST(event_id AS VARCHAR) END AS "Serial",
+  CASE WHEN event_id % 97 = 0 THEN 'unparsable' ELSE 'ok' END AS verdict FROM events""",
+        # announced unless a multiple of 13, landed unless of 17, too late if of 19
+        "live_ingest": _with(_RAW, f"docs AS ({_rendered(_latest('raw', 'e % 13 <> 0 AND e % 17 <> 0 AND e % 19 <> 0'))})")
+        + f"""SELECT k AS what, 'document' AS status, "Serial" FROM docs
+UNION ALL SELECT {link}, 'unparsable', NULL FROM events
+  WHERE event_id % 13 <> 0 AND event_id % 17 <> 0 AND event_id % 19 <> 0 AND event_id % 97 = 0
+UNION ALL SELECT {link}, 'missing', NULL FROM events WHERE event_id % 13 <> 0 AND (event_id % 17 = 0 OR event_id % 19 = 0)
+UNION ALL SELECT {link}, 'unannounced', NULL FROM events WHERE event_id % 17 <> 0 AND (event_id % 13 = 0 OR event_id % 19 = 0)""",
         "ingest_quarantine": f"""WITH judged AS (
   SELECT {file_name} AS file_name, user_id, ts, CASE WHEN event_id % 97 = 0 THEN 'unparsable' WHEN event_id % 89 = 0 THEN 'no event id'
     WHEN event_id % 83 = 0 THEN 'no sections' WHEN event_id % 79 = 0 THEN 'section without time' ELSE 'ok' END AS reason FROM events)

@@ -1,7 +1,7 @@
 """One query per operator, each over whole tables."""
 
 from collections.abc import Callable
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,9 +45,10 @@ from stormlake.plans.ingest import documents, documents_from_payloads, ingest, o
 from stormlake.session import stage, work_path
 from stormlake.sources.archive import read_archive, write_archive
 from stormlake.sources.bulletins import parse_bulletins, read_bulletins, split_quarantine
-from stormlake.sources.feed import read_feed, storm_entries
+from stormlake.sources.feed import read_feed, storm_entries, stream_feed
 from stormlake.sources.tables import document_table, read_documents, write_documents
 from stormlake.streaming.ingest import ingest_landed
+from stormlake.streaming.live import ingest_announced, read_unmet
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -169,6 +170,48 @@ def bulletin_stream(spark, sf):
     )
 
 
+@query("live_ingest")
+def live_ingest(spark, sf):
+    """Feed and landing zone as two streams, taken in by two runs: documents, and what did not meet."""
+    feed, landing, table, checkpoint = (work_path(spark, n) for n in ("feed", "landing", "table", "offsets"))
+    events = fx.table(spark, sf, "events")
+    entries, landed = stage(fx.announcements(events), "entries"), stage(fx.landings(events), "landings")
+    first, last = events.select(F.min("ts").cast("timestamp"), F.max("ts").cast("timestamp")).first()
+    middle, close = first + (last - first) / 2, last + timedelta(days=2)
+    # entry and payload of the close: no storm, but times far beyond all others
+    ends = spark.range(1).select(F.lit(close).alias("at"))
+    closing = ends.select(F.format_string("<entry><title></title><updated>%s</updated></entry>", F.col("at").cast("string")).alias("value"))
+    schema = "link string, body string, landed_at timestamp"
+    for run, since, until in ((1, first, middle), (2, middle, close)):
+        times = (F.lit(since), F.lit(until) - F.expr("INTERVAL 1 MICROSECOND"))
+        entries.where(F.col("at").cast("timestamp").between(*times)).select("value").write.mode("append").text(feed)
+        landed.where(F.col("landed_at").between(*times)).write.mode("append").parquet(landing)
+        if run == 2:
+            closing.write.mode("append").text(feed)
+            ends.select(F.lit("close").alias("link"), F.lit("").alias("body"), F.col("at").alias("landed_at")).write.mode("append").parquet(landing)
+        payloads = spark.readStream.schema(schema).parquet(landing)
+        ingest_announced(stream_feed(spark, feed, per_line=True), payloads, table, checkpoint, "2 HOURS", "1 MINUTE").awaitTermination()
+    documents = read_documents(spark, table).select(F.col("unique_event_id").alias("what"), F.lit("document").alias("status"), "Serial")
+    rejected = read_rejected(spark, table).select(F.col("link").alias("what"), F.col("reason").alias("status"))
+    unmet = read_unmet(spark, table).select(F.col("link").alias("what"), "status")
+    none = F.lit(None).cast("string").alias("Serial")
+    return documents.unionByName(rejected.unionByName(unmet).select("*", none))
+
+
+@query("bulletin_folder")
+def bulletin_folder(spark, sf):
+    """A folder with one indented XML document per file."""
+    landing = work_path(spark, "folder")
+    lines = F.replace(F.col("body"), F.lit("><"), F.lit(">\n  <"))
+    files = _landed(spark, sf).select(link_filename(F.col("link")).alias("file"), F.concat(F.lit("\ufeff"), lines).alias("value"))
+    files.write.partitionBy("file").text(landing)
+    good, bad = split_quarantine(read_bulletins(spark, landing))
+    name = F.regexp_extract("link", "file=([^/]+)/", 1).alias("file_name")
+    kept = good.select(name, "Head.EventID", "Head.Serial", F.lit("ok").alias("verdict"))
+    none = F.lit(None).cast("string")
+    return kept.unionByName(bad.select(name, none.alias("EventID"), none.alias("Serial"), F.col("reason").alias("verdict")))
+
+
 @query("ingest_quarantine")
 def ingest_quarantine(spark, sf):
     """What an ingest rejects, payload and all, and its counts: good and rejected ones are all that landed."""

@@ -170,6 +170,32 @@ def feed_entries(pages: DataFrame) -> DataFrame:
     )
 
 
+#: a thirteenth of the entries announce something else, a seventeenth of the payloads never land, a nineteenth land late
+_OTHER, _LOST, _LATE = 13, 17, 19
+
+
+def announcements(events: DataFrame) -> DataFrame:
+    """``value, at``: an Atom entry with its time for every event's bulletin, and when a poll found it.
+
+    Every entry of an even event is found by two polls.
+    """
+    number, link = F.col("event_id"), _text("https://example.org/bulletins/", F.col("event_id").cast("string"), "_0_storm.xml")
+    title = F.when(number % _OTHER == 0, "その他").otherwise(FEED_TITLE)
+    time = _text(F.replace(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit(" "), F.lit("T")), "Z")
+    entry = _text("<entry><title>", title, '</title><link href="', link, '"/><updated>', time, "</updated></entry>")
+    polls = F.when(number % 2 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    return events.select(entry.alias("value"), F.col("ts").alias("at"), F.explode(polls).alias("poll")).drop("poll")
+
+
+def landings(events: DataFrame) -> DataFrame:
+    """``link, body, landed_at``: payloads ten minutes after their event, late ones five hours after it."""
+    number = F.regexp_extract("link", r"(\d+)_0_storm", 1).cast("bigint")
+    times = events.select(F.col("event_id").alias("number"), "ts")
+    wait = F.when(F.col("number") % _LATE == 0, F.expr("INTERVAL 5 HOURS")).otherwise(F.expr("INTERVAL 10 MINUTES"))
+    landed = bulletins(events).withColumn("number", number).join(times, "number").where(F.col("number") % _LOST != 0)
+    return landed.select("link", "body", (F.col("ts") + wait).cast("timestamp").alias("landed_at"))
+
+
 def questions(documents: DataFrame) -> DataFrame:
     """One question per named storm and calendar day of the document table.
 

@@ -31,6 +31,7 @@ CORRUPT = "_corrupt_record"
 BULLETIN = f"Head {HEAD}, Body {BODY}, {CORRUPT} string"
 
 FEED_ENTRY = "title string, link struct<_href:string>"
+TIMED_ENTRY = f"{FEED_ENTRY}, updated string"
 
 OBSERVATION = (
     ", ".join(f"{n} {t}" for n, t in OBSERVATION_TYPES.items())

@@ -31,7 +31,10 @@ def _payloads(reader, path: str, per_line: bool) -> DataFrame:
     else:
         files = reader.format("binaryFile").schema(_FILE).load(path)
         body, rows = F.make_valid_utf8(F.col("content").cast("string")), files
-    return rows.select(F.col("_metadata.file_path").alias("link"), F.regexp_replace(body, "^\ufeff", "").alias("body"))
+    return rows.select(
+        F.col("_metadata.file_path").alias("link"), F.regexp_replace(body, "^\ufeff", "").alias("body"),
+        F.col("_metadata.file_modification_time").alias("landed_at"),
+    )
 
 
 def read_payloads(spark: SparkSession, path: str, per_line: bool = False) -> DataFrame:
@@ -40,7 +43,12 @@ def read_payloads(spark: SparkSession, path: str, per_line: bool = False) -> Dat
     A file is one XML document of any number of lines. With ``per_line`` every line of a file is a bulletin of
     its own: such packed files are split between tasks, and a broken line spoils no other.
     """
-    return _payloads(spark.read, path, per_line)
+    return _payloads(spark.read, path, per_line).drop("landed_at")
+
+
+def stream_payloads(spark: SparkSession, path: str, per_line: bool = False) -> DataFrame:
+    """Newly landed payloads as a stream of ``link, body, landed_at``; a payload landed when its file was written."""
+    return _payloads(spark.readStream, path, per_line)
 
 
 def read_bulletins(spark: SparkSession, path: str, per_line: bool = False) -> DataFrame:
