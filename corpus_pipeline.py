@@ -39,10 +39,12 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a ten-word window of a benchmark item."""
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
-    found = find_contamination(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key="_key")
-    dropped = found.where("contaminated").select("_key").distinct()
-    return keyed.join(dropped, "_key", "left_anti").select(*docs.columns)
+    row = F.xxhash64(docs["doc_id"], docs["text"])
+    keyed = docs.select(row.alias("row"), "text")
+    found = find_contamination(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key="row")
+    dropped = found.where("contaminated").select(F.col("row").alias("dropped")).distinct()
+    # joined by a value, not by a column of the documents: they may have one of any name
+    return docs.join(dropped, row == dropped["dropped"], "left_anti")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
