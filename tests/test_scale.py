@@ -2,6 +2,10 @@
 
 from datetime import datetime, timedelta
 
+import pytest
+from pyspark.sql import functions as F
+
+from checks import queries
 from stormlake import fixtures as fx
 from stormlake.session import stage
 
@@ -26,3 +30,23 @@ def test_landings_meet_their_times_without_a_broadcast(spark):
     at = lambda i, wait: (f"{i}_0_storm.xml", NOON + timedelta(minutes=i) + wait)
     # a repeated event lands as often as its times meet, a seventeenth never
     assert found == sorted([at(1, ten), *[at(2, ten)] * 4, at(19, late)])
+
+
+@pytest.fixture
+def tables(spark, tmp_path):
+    events(spark, range(1, 400)).write.parquet(f"{tmp_path}/events.parquet")
+    return str(tmp_path)
+
+
+@pytest.mark.parametrize("name", ["bulletin_scan"])
+def test_packed_bulletins_land_compressed_in_bounded_files(spark, tables, monkeypatch, name):
+    paths = {}
+    work_path = queries.work_path
+    monkeypatch.setattr(queries, "work_path", lambda spark, of: paths.setdefault(of, work_path(spark, of)))
+    monkeypatch.setattr(queries, "_PER_FILE", 20, raising=False)
+    queries.all_queries()[name](spark, tables).collect()
+    bodies = spark.read.text(paths["landing"]).where("value <> ''")
+    assert bodies.count() == 399
+    assert max(r["count"] for r in bodies.groupBy(F.input_file_name()).count().collect()) <= 20
+    files = spark.read.format("binaryFile").load(paths["landing"]).agg(F.sum("length")).first()[0]
+    assert 2 * files < bodies.agg(F.sum(F.octet_length("value"))).first()[0]
