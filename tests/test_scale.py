@@ -50,3 +50,20 @@ def test_packed_bulletins_land_compressed_in_bounded_files(spark, tables, monkey
     assert max(r["count"] for r in bodies.groupBy(F.input_file_name()).count().collect()) <= 20
     files = spark.read.format("binaryFile").load(paths["landing"]).agg(F.sum("length")).first()[0]
     assert 2 * files < bodies.agg(F.sum(F.octet_length("value"))).first()[0]
+
+
+def joined(plan):
+    """The names of the columns that go into the joins of a plan, one set for each side."""
+    children = [plan.children().apply(i) for i in range(plan.children().size())]
+    if plan.nodeName() == "Join":
+        yield from ({c.output().apply(i).name() for i in range(c.output().size())} for c in children)
+    for child in children:
+        yield from joined(child)
+
+
+def test_rejected_payloads_are_compared_by_digest(spark, tables):
+    found = queries.all_queries()["ingest_quarantine"](spark, tables)
+    sides = list(joined(found._jdf.queryExecution().optimizedPlan()))
+    assert len(sides) == 2 and not {"payload", "body"} & set().union(*sides)
+    rejected = [r for r in found.collect() if r.file_name]
+    assert len(rejected) == 17 and all(r.whole for r in rejected)
