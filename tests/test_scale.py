@@ -38,7 +38,7 @@ def tables(spark, tmp_path):
     return str(tmp_path)
 
 
-@pytest.mark.parametrize("name", ["bulletin_scan"])
+@pytest.mark.parametrize("name", ["bulletin_scan", "bulletin_stream"])
 def test_packed_bulletins_land_compressed_in_bounded_files(spark, tables, monkeypatch, name):
     paths = {}
     work_path = queries.work_path
