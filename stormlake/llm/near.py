@@ -9,8 +9,11 @@ dropped with a margin of 4.5 standard errors; the rest is confirmed on the full
 Copies are one row from the start (equal sets have equal digests). Within a band no list of all pairs is
 made: first every member meets the smallest member only. Where the confirmed links have not
 joined a band's members into one component, those outside its largest component meet a few members of it, picked by
-hash, and only who is still outside then meets the others, by a finer sketch that only these members get: four times the samples and bits,
-so half the standard error and half the margin. A pair that is skipped is one that is already connected, so components are whole.
+hash. Who is still outside then meets the others in two ways. A shingle that few of these members have is rare: an outsider meets all
+that share a rare one, at most ``RARE`` for each. Two members that share no rare one have at most as many shingles in common as either has
+common ones, and an outsider that has few shingles of its own meets only the members of its bands whose counts allow the similarity;
+these get a finer sketch of four times the samples and bits, so half the standard error and half the margin. A pair
+that is skipped is one that is already connected, or one whose counts rule the similarity out, so components are whole.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,6 +41,8 @@ MARGIN = 0.12
 FINER = 4
 #: members of a band's largest component that each outsider meets before it meets all
 HUBS = 6
+#: a shingle is rare if at most so many of the members that have yet to meet have it
+RARE = 64
 _CHUNK = 1 << 20
 #: sets signed at once, which bounds the table of their samples
 _BLOCK = 1024
@@ -142,6 +147,23 @@ def fine_sketches(texts: DataFrame, n: int) -> DataFrame:
     return texts.select("node", "text").mapInArrow(sketched, f"node {kind}, sketch array<bigint>, fine array<bigint>")
 
 
+def shingle_rows(texts: DataFrame, n: int) -> DataFrame:
+    """``node, size, shingle``: a row for each distinct shingle of every text, with their number."""
+
+    def listed(batches):
+        for batch in chunks(batches, "text", _CHUNK):
+            values, first = shingle_sets(batch.column("text"), n)
+            sizes = np.diff(first)
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("node").take(pa.array(row)), pa.array(sizes[row], pa.int64()), pa.array(values.view(np.int64))],
+                names=["node", "size", "shingle"],
+            )
+
+    kind = texts.schema["node"].dataType.simpleString()
+    return texts.select("node", "text").mapInArrow(listed, f"node {kind}, size bigint, shingle bigint")
+
+
 def furthest(threshold: float, finer: int = 1) -> int:
     """Most differing sketch bits of a pair that is still confirmed on its sets."""
     hashes, n_bits = finer * HASHES, finer * SKETCH_BITS
@@ -233,6 +255,45 @@ def _unjoined(members: DataFrame, roots: DataFrame) -> DataFrame:
     return stage(rooted.join(several.where(F.col("parts") > 1).select("band", "largest"), "band"), "near-unjoined")
 
 
+def _may_link(both: Column, percent: int) -> Column:
+    """Whether sets of ``size_x`` and ``size_y`` with at most ``both`` shingles in common may be linked."""
+    return (100 + percent) * both >= percent * (F.col("size_x") + F.col("size_y"))
+
+
+def _rare_and_common(rest: DataFrame, shingles: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """``node, root, out, size, shingle, place`` of rare shingles, and ``node, size, common``: how many others a member has.
+
+    Only shingles count that an outsider and someone else have; ``out`` says that the node is outside in one of its bands. Every set is
+    put in one order, the rarest first: linked sets have the first shingle in common among the first fifth of each (at 80 percent),
+    so rows of later places are left out.
+    """
+    nodes = rest.groupBy("node", "root").agg(F.max(F.col("root") != F.col("largest")).alias("out"))
+    rows = shingles.join(nodes, "node").repartition("shingle")
+    held_by = rows.groupBy("shingle").agg(F.count("*").alias("holders"), F.max("out").alias("some_out"))
+    held = stage(rows.join(held_by.where(F.col("some_out") & (F.col("holders") > 1)), "shingle"), "near-held")
+    of_set = Window.partitionBy("node", "size")
+    place = F.col("size") - F.count("*").over(of_set) + F.row_number().over(of_set.orderBy("holders", "shingle"))
+    placed = held.withColumn("place", place).where(100 * F.col("place") <= (100 - percent) * F.col("size") + 100)
+    rare = placed.where(F.col("holders") <= RARE).select("node", "root", "out", "size", "shingle", "place")
+    common = held.where(F.col("holders") > RARE).groupBy("node", "size").agg(F.count("*").alias("common"))
+    return rare, stage(common, "near-common")
+
+
+def _sharing_rare(rare: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs ``a, b`` of an outsider and another component's member that share a rare shingle and may be linked."""
+    columns = ("node", "root", "out", "size", "place")
+    x = rare.where("out").select("shingle", *(F.col(c).alias(f"{c}_x") for c in columns))
+    y = rare.select("shingle", *(F.col(c).alias(f"{c}_y") for c in columns))
+    # the shingle itself and those behind it
+    both = 1 + F.least(F.col("size_x") - F.col("place_x"), F.col("size_y") - F.col("place_y"))
+    return (
+        x.join(y, "shingle")
+        .where((F.col("root_x") != F.col("root_y")) & (~F.col("out_y") | (F.col("node_x") < F.col("node_y"))))
+        .where(_may_link(both, percent))
+        .select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
+    )
+
+
 def near_duplicates(
     docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80
 ) -> DataFrame:
@@ -291,20 +352,26 @@ def near_duplicates(
     roots = connected_components(_with(roots, confirm(alike(met), texts, n, percent)), "a", "b")
 
     rest = _unjoined(members, roots)
-    fine = stage(fine_sketches(texts.join(rest.select("node").distinct(), "node", "left_semi"), n), "near-fine")
-    rest = stage(rest.join(fine, "node"), "near-rest")
+    left = texts.join(rest.select("node").distinct(), "node", "left_semi")
+    rare, common = _rare_and_common(rest, shingle_rows(left, n), percent)
+    found = _sharing_rare(rare, percent)
+    # without a rare shingle in common, only sets that are common for the most part can be alike
+    plain = stage(common.where(100 * F.col("common") >= percent * F.col("size")), "near-plain")
+    fine = stage(fine_sketches(left.join(plain.select("node").distinct(), "node", "left_semi"), n), "near-fine")
+    rest = stage(rest.join(plain, "node").join(fine, "node"), "near-rest")
     outside = rest.where(F.col("root") != F.col("largest"))
-    one = outside.select("band", F.col("node").alias("x"), F.col("root").alias("root_x"), F.col("sketch").alias("sketch_x"), F.col("fine").alias("fine_x"), "largest")
-    other = rest.select("band", F.col("node").alias("y"), F.col("root").alias("root_y"), F.col("sketch").alias("sketch_y"), F.col("fine").alias("fine_y"))
+    one = outside.select("band", "largest", *(F.col(c).alias(f"{c}_x") for c in ("node", "root", "size", "common", "sketch", "fine")))
+    other = rest.select("band", *(F.col(c).alias(f"{c}_y") for c in ("node", "root", "size", "common", "sketch", "fine")))
     crossed = (
         one.join(other, "band")
         # two outsiders meet once, an outsider meets each member of the largest component
         .where((F.col("root_x") < F.col("root_y")) | ((F.col("root_x") > F.col("root_y")) & (F.col("root_y") == F.col("largest"))))
+        .where(_may_link(F.least("common_x", "common_y"), percent))
         # most pairs end at the short sketch
         .where((_apart("sketch_x", "sketch_y") <= limit) & (_fine_apart("fine_x", "fine_y") <= furthest(percent / 100, FINER)))
-        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        .distinct()
+        .select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b"))
     )
+    crossed = crossed.unionByName(found).distinct()
     final = connected_components(_with(roots, confirm(crossed, texts, n, percent)), "a", "b")
 
     found = (

@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 
+from stormlake.llm import near
 from stormlake.llm.components import connected_components
 from stormlake.llm.near import furthest, near_duplicates
 
@@ -103,3 +104,47 @@ def test_sketch_margin_keeps_what_may_be_linked():
         flips = np.bincount(rng.integers(0, 1024, 2 * differing), minlength=1024) & 1
         apart.append(flips.sum())
     assert max(apart) < furthest(0.8)
+
+
+def replaced(words, at, tag):
+    return [f"{tag}x{i}" if i in at else word for i, word in enumerate(words)]
+
+
+def test_outsiders_of_a_large_group_are_not_confirmed_with_all_its_members(spark, monkeypatch):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(100)]
+    rows = [(i, " ".join(replaced(words, {rng.randrange(1, 99)}, f"m{i}"))) for i in range(60)]
+    # three quarters alike to every member, and to each other less
+    rows += [(100 + i, " ".join(replaced(words, set(rng.sample(range(2, 98, 3), 6)), f"o{i}"))) for i in range(40)]
+    confirm, met = near.confirm, []
+
+    def counted(pairs, *more):
+        met.append(pairs.count())
+        return confirm(pairs, *more)
+
+    monkeypatch.setattr(near, "confirm", counted)
+    assert ours(spark, rows, 2, 80) == brute_force(rows, 2, 80)
+    assert len(met) == 3 and met[-1] <= len(rows)
+
+
+def test_the_last_meeting_misses_no_link(spark, monkeypatch):
+    monkeypatch.setattr(near, "RARE", 4)
+    rng = random.Random(6)
+    rows = []
+    for _ in range(20):
+        base = [f"w{rng.randrange(60)}" for _ in range(rng.randint(2, 80))]
+        rows += [" ".join(edited(base, rng, rng.randint(0, max(1, len(base) // 10)))) for _ in range(rng.choice([2, 3, 9]))]
+    rows = list(enumerate(dict.fromkeys(rows)))
+    texts = spark.createDataFrame(rows, "node long, text string")
+    # all in one band, each a component of its own
+    rest = texts.selectExpr("0L AS band", "node", "node AS root", "0L AS largest")
+    rare, common = near._rare_and_common(rest, near.shingle_rows(texts, 2), 80)
+    found = {(r["a"], r["b"]) for r in near._sharing_rare(rare, 80).collect()}
+    by_counts = {r["node"]: (r["common"], r["size"]) for r in common.collect()}
+    sets = [set(zip(text.split(), text.split()[1:])) for _, text in rows]
+    linked = [(i, j) for j in range(len(sets)) for i in range(j) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    plain = {n for n, (shared, size) in by_counts.items() if 100 * shared >= 80 * size}
+    apart = [p for p in linked if p not in found]
+    assert len(linked) > 30 and len(apart) < len(linked)
+    assert all(180 * min(by_counts[i][0], by_counts[j][0]) >= 80 * (len(sets[i]) + len(sets[j])) for i, j in apart if {i, j} <= plain)
+    assert all({i, j} <= plain for i, j in apart)
