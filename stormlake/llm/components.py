@@ -22,23 +22,37 @@ def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
         .distinct()
     )
     pairs = stage(pairs, "component-links")
-    before = None
-    while True:
-        mark = pairs.agg(
-            F.count("*").alias("n"), F.sum(F.xxhash64("node", "root").cast("decimal(20,0)")).alias("sum")
-        ).first()
-        if mark == before or not mark["n"]:
-            return pairs
-        before = mark
+    while _unsettled(pairs).count():
         pairs = stage(_small_star(_large_star(pairs)), "component-round")
+    return pairs
+
+
+def extended_components(roots: DataFrame, links: DataFrame, a: str, b: str) -> DataFrame:
+    """``node, root`` as of ``connected_components``, after more links; only components that these join go through rounds."""
+    ends = [roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")) for end in (a, b)]
+    between = links.join(ends[0], a, "left").join(ends[1], b, "left")
+    between = between.select(F.coalesce(f"root_{a}", a).alias("one"), F.coalesce(f"root_{b}", b).alias("other"))
+    moved = connected_components(between, "one", "other")
+    least = moved.select(F.col("node").alias("root"), F.col("root").alias("least"))
+    kept = roots.join(least, "root", "left").select("node", F.coalesce("least", "root").alias("root"))
+    return stage(kept.unionByName(moved), "component-roots")
+
+
+def _unsettled(pairs: DataFrame) -> DataFrame:
+    """The nodes that have several roots, or one and are themselves a root; without any, ``pairs`` are the components."""
+    uses = pairs.select("node", F.lit(1).alias("roots"), F.lit(0).alias("is_root")).unionByName(
+        pairs.select(F.col("root").alias("node"), F.lit(0).alias("roots"), F.lit(1).alias("is_root"))
+    )
+    return uses.groupBy("node").agg(F.sum("roots").alias("roots"), F.max("is_root").alias("is_root")).where(F.col("roots") + F.col("is_root") > 1)
 
 
 def _large_star(pairs: DataFrame) -> DataFrame:
     both = pairs.unionByName(pairs.select(F.col("root").alias("node"), F.col("node").alias("root")))
     least = both.groupBy("node").agg(F.least(F.min("root"), F.first("node")).alias("least"))
     return (
+        # a row for each of the pairs; small stars drop repeated ones
         both.join(least, "node").where(F.col("root") > F.col("node"))
-        .select(F.col("root").alias("node"), F.col("least").alias("root")).distinct()
+        .select(F.col("root").alias("node"), F.col("least").alias("root"))
     )
 
 

@@ -10,10 +10,11 @@ Copies are one row from the start (equal sets have equal digests). Within a band
 made: first every member meets the smallest member only. Where the confirmed links have not
 joined a band's members into one component, those outside its largest component meet a few members of it, picked by
 hash. Who is still outside then meets the others in two ways. A shingle that few of these members have is rare: an outsider meets all
-that share a rare one, at most ``RARE`` for each. Two members that share no rare one have at most as many shingles in common as either has
-common ones, and an outsider that has few shingles of its own meets only the members of its bands whose counts allow the similarity;
-these get a finer sketch of four times the samples and bits, so half the standard error and half the margin. A pair
-that is skipped is one that is already connected, or one whose counts rule the similarity out, so components are whole.
+that share a rare one, at most ``RARE`` for each. Two members that share no rare one can only have common ones in common. These are counted
+within and beyond the set of one member of the band, its center: of either part two sets share no more than the smaller count. Members of the
+same size and counts beyond the center are a class; an outsider meets the classes of its bands, and the members only of a class whose
+counts allow the similarity. Pairs left get a finer sketch of four times the samples and bits, so half the standard error and half the margin.
+A pair that is skipped is one that is already connected, or one whose counts rule the similarity out, so components are whole.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stormlake.llm.components import connected_components
+from stormlake.llm.components import connected_components, extended_components
 from stormlake.llm.words import Words, chunks, mixed, window_hashes
 from stormlake.session import stage
 
@@ -43,6 +44,8 @@ FINER = 4
 HUBS = 6
 #: a shingle is rare if at most so many of the members that have yet to meet have it
 RARE = 64
+#: common shingles beyond a band's center are counted in so many parts
+PARTS = 8
 _CHUNK = 1 << 20
 #: sets signed at once, which bounds the table of their samples
 _BLOCK = 1024
@@ -242,10 +245,6 @@ def _fine_apart(one: str, other: str):
     return F.aggregate(F.zip_with(one, other, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
 
 
-def _with(roots: DataFrame, more: DataFrame) -> DataFrame:
-    return roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)
-
-
 def _unjoined(members: DataFrame, roots: DataFrame) -> DataFrame:
     """``band, node, root, largest`` of the bands whose members are in several components."""
     rooted = members.join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
@@ -261,7 +260,7 @@ def _may_link(both: Column, percent: int) -> Column:
 
 
 def _rare_and_common(rest: DataFrame, shingles: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """``node, root, out, size, shingle, place`` of rare shingles, and ``node, size, common``: how many others a member has.
+    """``node, root, out, size, shingle, place`` of rare shingles, and ``node, size, common, shingles``: the others of a member and their number.
 
     Only shingles count that an outsider and someone else have; ``out`` says that the node is outside in one of its bands. Every set is
     put in one order, the rarest first: linked sets have the first shingle in common among the first fifth of each (at 80 percent),
@@ -275,12 +274,12 @@ def _rare_and_common(rest: DataFrame, shingles: DataFrame, percent: int) -> tupl
     place = F.col("size") - F.count("*").over(of_set) + F.row_number().over(of_set.orderBy("holders", "shingle"))
     placed = held.withColumn("place", place).where(100 * F.col("place") <= (100 - percent) * F.col("size") + 100)
     rare = placed.where(F.col("holders") <= RARE).select("node", "root", "out", "size", "shingle", "place")
-    common = held.where(F.col("holders") > RARE).groupBy("node", "size").agg(F.count("*").alias("common"))
+    common = held.where(F.col("holders") > RARE).groupBy("node", "size").agg(F.count("*").alias("common"), F.collect_list("shingle").alias("shingles"))
     return rare, stage(common, "near-common")
 
 
 def _sharing_rare(rare: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs ``a, b`` of an outsider and another component's member that share a rare shingle and may be linked."""
+    """Pairs ``a, b`` of an outsider and another component's member that share a rare shingle and may be linked, once for each such shingle."""
     columns = ("node", "root", "out", "size", "place")
     x = rare.where("out").select("shingle", *(F.col(c).alias(f"{c}_x") for c in columns))
     y = rare.select("shingle", *(F.col(c).alias(f"{c}_y") for c in columns))
@@ -290,6 +289,55 @@ def _sharing_rare(rare: DataFrame, percent: int) -> DataFrame:
         x.join(y, "shingle")
         .where((F.col("root_x") != F.col("root_y")) & (~F.col("out_y") | (F.col("node_x") < F.col("node_y"))))
         .where(_may_link(both, percent))
+        .select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b"))
+    )
+
+
+def _around_centers(rest: DataFrame, plain: DataFrame) -> DataFrame:
+    """``band, node, root, largest, size, inside, beyond`` of the members of bands that have outsiders.
+
+    ``inside`` is the number of common shingles that a member shares with its band's center, ``beyond`` that of its others, in ``PARTS`` parts.
+    The center is the member of the largest component that has most common shingles, so that little of the others is beyond it.
+    """
+    rest = stage(rest.join(plain.select("node", "size", "common"), "node"), "near-rest")
+    joined = F.col("root") == F.col("largest")
+    centers = (
+        rest.groupBy("band").agg(F.max(F.struct(joined.alias("joined"), "common", "node", "size")).alias("center"), F.max(~joined).alias("some_out"), F.count("*").alias("met"))
+        .where(F.col("some_out") & (F.col("met") > 1)).select("band", F.col("center.node").alias("center"), F.col("center.size").alias("center_size"))
+    )
+    rest = rest.drop("common").join(centers, "band")
+    of_center = plain.select(F.col("node").alias("center"), F.col("size").alias("center_size"), F.col("shingles").alias("center_shingles"))
+    around = (
+        rest.select("node", "size", "center", "center_size").distinct()
+        .join(of_center, ["center", "center_size"]).join(plain.select("node", "size", "shingles"), ["node", "size"])
+        .withColumn("others", F.array_except("shingles", "center_shingles"))
+        .withColumn("inside", F.size(F.array_intersect("shingles", "center_shingles")))
+        .withColumn("beyond", F.array(*(F.size(F.filter("others", _in_part(i))) for i in range(PARTS))))
+        .select("node", "size", "center", "center_size", "inside", "beyond")
+    )
+    rest = rest.join(around, ["node", "size", "center", "center_size"])
+    return stage(rest.select("band", "node", "root", "largest", "size", "inside", "beyond"), "near-around")
+
+
+def _in_part(i: int):
+    return lambda shingle: F.pmod(shingle, F.lit(PARTS)) == i
+
+
+def _sharing_common(rest: DataFrame, plain: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs ``a, b`` of an outsider and another component's member of its band that may be linked by common shingles alone."""
+    rest = _around_centers(rest, plain)
+    columns = ("node", "root", "size", "inside", "beyond")
+    one = rest.where(F.col("root") != F.col("largest")).select("band", "largest", *(F.col(c).alias(f"{c}_x") for c in columns))
+    other = rest.select("band", *(F.col(c).alias(f"{c}_y") for c in columns))
+    classes = other.groupBy("band", "size_y", "beyond_y").agg(F.max("inside_y").alias("inside_y"))
+    both = F.least("inside_x", "inside_y")
+    for i in range(PARTS):
+        both = both + F.least(F.col("beyond_x")[i], F.col("beyond_y")[i])
+    return (
+        one.join(classes, "band").where(_may_link(both, percent)).drop("inside_y")
+        .join(other, ["band", "size_y", "beyond_y"]).where(_may_link(both, percent))
+        # two outsiders meet once, an outsider meets each member of the largest component
+        .where((F.col("root_x") < F.col("root_y")) | ((F.col("root_x") > F.col("root_y")) & (F.col("root_y") == F.col("largest"))))
         .select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
     )
 
@@ -349,7 +397,7 @@ def near_duplicates(
         rest.where(F.col("root") != F.col("largest")).join(picked, "band")
         .select(F.col("node").alias("b"), F.explode(F.array_distinct("hubs")).alias("a"))
     )
-    roots = connected_components(_with(roots, confirm(alike(met), texts, n, percent)), "a", "b")
+    roots = extended_components(roots, confirm(alike(met), texts, n, percent), "a", "b")
 
     rest = _unjoined(members, roots)
     left = texts.join(rest.select("node").distinct(), "node", "left_semi")
@@ -358,21 +406,16 @@ def near_duplicates(
     # without a rare shingle in common, only sets that are common for the most part can be alike
     plain = stage(common.where(100 * F.col("common") >= percent * F.col("size")), "near-plain")
     fine = stage(fine_sketches(left.join(plain.select("node").distinct(), "node", "left_semi"), n), "near-fine")
-    rest = stage(rest.join(plain, "node").join(fine, "node"), "near-rest")
-    outside = rest.where(F.col("root") != F.col("largest"))
-    one = outside.select("band", "largest", *(F.col(c).alias(f"{c}_x") for c in ("node", "root", "size", "common", "sketch", "fine")))
-    other = rest.select("band", *(F.col(c).alias(f"{c}_y") for c in ("node", "root", "size", "common", "sketch", "fine")))
     crossed = (
-        one.join(other, "band")
-        # two outsiders meet once, an outsider meets each member of the largest component
-        .where((F.col("root_x") < F.col("root_y")) | ((F.col("root_x") > F.col("root_y")) & (F.col("root_y") == F.col("largest"))))
-        .where(_may_link(F.least("common_x", "common_y"), percent))
+        _sharing_common(rest, plain, percent)
+        .join(fine.select(F.col("node").alias("a"), F.col("sketch").alias("sketch_a"), F.col("fine").alias("fine_a")), "a")
+        .join(fine.select(F.col("node").alias("b"), F.col("sketch").alias("sketch_b"), F.col("fine").alias("fine_b")), "b")
         # most pairs end at the short sketch
-        .where((_apart("sketch_x", "sketch_y") <= limit) & (_fine_apart("fine_x", "fine_y") <= furthest(percent / 100, FINER)))
-        .select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b"))
+        .where((_apart("sketch_a", "sketch_b") <= limit) & (_fine_apart("fine_a", "fine_b") <= furthest(percent / 100, FINER)))
+        .select("a", "b")
     )
     crossed = crossed.unionByName(found).distinct()
-    final = connected_components(_with(roots, confirm(crossed, texts, n, percent)), "a", "b")
+    final = extended_components(roots, confirm(crossed, texts, n, percent), "a", "b")
 
     found = (
         signed.select("key", "n_shingles", "d1", "d2")

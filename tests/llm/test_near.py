@@ -4,7 +4,7 @@ import re
 import numpy as np
 
 from stormlake.llm import near
-from stormlake.llm.components import connected_components
+from stormlake.llm.components import connected_components, extended_components
 from stormlake.llm.near import furthest, near_duplicates
 
 SCHEMA = "doc_id long, text string"
@@ -95,6 +95,15 @@ def test_components_of_a_long_path(spark):
     assert roots == {**{i: 0 for i in range(1, 300)}, 1001: 1000}
 
 
+def test_components_extended_by_links(spark):
+    rng = random.Random(2)
+    links = [(rng.randrange(120), rng.randrange(120)) for _ in range(90)]
+    of = lambda some: spark.createDataFrame(some, "a long, b long")
+    roots = extended_components(connected_components(of(links[:45]), "a", "b"), of(links[45:]), "a", "b").collect()
+    whole = connected_components(of(links), "a", "b").collect()
+    assert sorted(roots) == sorted(whole) and len(whole) > 20
+
+
 def test_sketch_margin_keeps_what_may_be_linked():
     # differing bits of pairs at the threshold stay well below the bound
     rng = np.random.default_rng(0)
@@ -148,3 +157,45 @@ def test_the_last_meeting_misses_no_link(spark, monkeypatch):
     assert len(linked) > 30 and len(apart) < len(linked)
     assert all(180 * min(by_counts[i][0], by_counts[j][0]) >= 80 * (len(sets[i]) + len(sets[j])) for i, j in apart if {i, j} <= plain)
     assert all({i, j} <= plain for i, j in apart)
+
+
+def test_outsiders_just_below_the_threshold_meet_few_members(spark, monkeypatch):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(150)]
+    rows = [(0, " ".join(words))]
+    rows += [(i, " ".join(replaced(words, set(rng.sample(range(1, 148, 3), rng.randint(1, 3))), f"m{i}"))) for i in range(1, 90)]
+    # 18 of 149 shingles are not the center's: a similarity of 0.77 to it, and less to its copies; they have common shingles that these have not
+    rows += [(100 + i, " ".join([*replaced(words, set(rng.sample(range(1, 148, 3), 9)), f"o{i}"), "t0", "t1", "t2"])) for i in range(70)]
+    confirm, met = near.confirm, []
+
+    def counted(pairs, *more):
+        met.append(pairs.count())
+        return confirm(pairs, *more)
+
+    monkeypatch.setattr(near, "confirm", counted)
+    found = ours(spark, rows, 2, 80)
+    assert found == brute_force(rows, 2, 80)
+    assert sum(r[3] for r in found) == 71
+    # without the center each of the outsiders is confirmed with most of the members
+    assert len(met) == 3 and met[-1] <= len(rows)
+
+
+def test_meeting_by_common_shingles_misses_no_link(spark, monkeypatch):
+    monkeypatch.setattr(near, "RARE", 3)
+    rng = random.Random(9)
+    rows = []
+    for _ in range(12):
+        base = [f"w{rng.randrange(60)}" for _ in range(rng.randint(2, 80))]
+        rows += [" ".join(edited(base, rng, rng.randint(0, max(1, len(base) // 10)))) for _ in range(rng.choice([4, 9, 20]))]
+    rows = list(enumerate(dict.fromkeys(rows)))
+    texts = spark.createDataFrame(rows, "node long, text string")
+    # two bands, in one of which a component of three is the largest
+    rest = texts.selectExpr("node % 2 AS band", "node", "if(node in (1, 3, 5), 1, node) AS root", "if(node % 2 = 1, 1L, 0L) AS largest")
+    rare, plain = near._rare_and_common(rest, near.shingle_rows(texts, 2), 80)
+    rare_met = {(r["a"], r["b"]) for r in near._sharing_rare(rare, 80).collect()}
+    common_met = {(r["a"], r["b"]) for r in near._sharing_common(rest, plain, 80).collect()}
+    sets = [set(zip(text.split(), text.split()[1:])) for _, text in rows]
+    pairs = [(i, j) for j in range(len(sets)) for i in range(j) if (j - i) % 2 == 0 and not {i, j} <= {1, 3, 5}]
+    linked = {(i, j) for i, j in pairs if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    assert len(linked - rare_met) > 5 and linked <= rare_met | common_met
+    assert len(common_met) < len(pairs) / 4
