@@ -10,7 +10,8 @@ places the differences of ranks are the numbers of tokens of a group on either s
 ``align_chunks`` gives every document its groups and its linked id pairs, ``score_links`` then counts in
 how many documents of the corpus each pair is linked. For that the pairs of some documents, a chunk, are
 joined into one list of distinct pairs; only these are shuffled, as plain rows summed by Spark, and come back to their
-chunk. A chunk holds about ``CHUNK_PAIRS`` pairs, or those of one document.
+chunk. A chunk holds about ``CHUNK_PAIRS`` pairs, or those of one document. Its lists are compressed, and few
+chunks share a file: a reader holds the rows of a file, up to thousands, at once.
 """
 
 from __future__ import annotations
@@ -29,7 +30,9 @@ from stormlake.llm.words import chunks
 from stormlake.session import stage
 
 CHUNK_PAIRS = 250_000
-_CHUNK_BYTES = 1 << 19
+#: chunks in a file, some ten megabytes
+_FILE_CHUNKS = 32
+_CHUNK_BYTES = 1 << 18
 #: ends that one stretch of a driving list has
 _STRETCH = 64
 #: links that are written out at a time
@@ -218,7 +221,7 @@ def align_chunks(
     ``groups`` reads ``a1,a2|b1;a3|b2,b3``, ids in the order of the text; ``n_links`` counts the pairs of a token
     of A and one of B in the same group. ``codes`` are the distinct linked ids of the chunk (``a << 32 | b``), ``held`` says
     in how many of its documents each is linked; each document has ``sizes`` of them, at ``place``
-    in that list and linked ``times`` often. The two paths are read on the driver.
+    in that list and linked ``times`` often. All are ``pressed``, ``codes`` and ``place`` as differences. The two paths are read on the driver.
 
     Texts that are null or empty, and those whose tokens' bytes of either side joined are not a space and the text,
     have no tokens: zeros, and an empty ``groups``. Strings of special tokens are plain text. Every row
@@ -245,9 +248,11 @@ def align_chunks(
         codes = np.concatenate([code for code, _ in pairs])
         distinct, place, times_held = np.unique(codes, return_inverse=True, return_counts=True)
         sizes = np.array([len(code) for code, _ in pairs], np.int32)
-        packed = (distinct, times_held.astype(np.int32), sizes, place.ravel().astype(np.int32), np.concatenate([often for _, often in pairs]))
+        # both lists rise, the second within each document: steps are short
+        steps, place = np.diff(distinct, prepend=0), np.diff(place.ravel().astype(np.int32), prepend=np.int32(0))
+        packed = (steps, times_held.astype(np.int32), sizes, place, np.concatenate([often for _, often in pairs]))
         rows = pa.ListArray.from_arrays(np.array([0, len(held)], np.int32), held)
-        return pa.RecordBatch.from_arrays([pa.array([number]), rows, *(pa.array([planes(x)], pa.binary()) for x in packed)], names=schema.names)
+        return pa.RecordBatch.from_arrays([pa.array([number]), rows, *(pa.array([pressed(x)], pa.binary()) for x in packed)], names=schema.names)
 
     def aligned(batches):
         a = worker_kept(("align a", hash(raw.value[0])), lambda: Encoder(ByteBpe(raw.value[0], special=False)))
@@ -290,14 +295,14 @@ def score_links(chunked: DataFrame) -> DataFrame:
     def opened(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                codes = from_planes(batch.column("codes")[i].as_py(), np.int64)
-                held = from_planes(batch.column("held")[i].as_py(), np.int32).astype(np.int64)
+                codes = np.cumsum(from_pressed(batch.column("codes")[i].as_py(), np.int64))
+                held = from_pressed(batch.column("held")[i].as_py(), np.int32).astype(np.int64)
                 number = np.full(len(codes), batch.column("chunk")[i].as_py())
                 for at in range(0, len(codes), 1 << 16):
                     cut = slice(at, at + (1 << 16))
                     yield pa.RecordBatch.from_arrays([pa.array(x[cut]) for x in (number, codes, held)], names=["chunk", "code", "held"])
 
-    packed = stage(chunked, "link-chunks")
+    packed = stage(chunked, "link-chunks", rows_per_file=_FILE_CHUNKS)
     wanted = packed.select("chunk", "codes", "held").mapInArrow(opened, "chunk long, code long, held long")
     counts = stage(wanted.groupBy("code").agg(F.sum("held").alias("n")), "link-counts")
     first = F.shiftright("code", 32).alias("a")
@@ -313,8 +318,9 @@ def score_links(chunked: DataFrame) -> DataFrame:
         n, best = right["n"].to_numpy()[order], right["best"].to_numpy().astype(np.int64)[order]
         left = left.combine_chunks()
         sizes, place, times = (
-            from_planes(left[name][0].as_py(), kind) for name, kind in (("sizes", np.int32), ("place", np.int32), ("times", np.int64))
+            from_pressed(left[name][0].as_py(), kind) for name, kind in (("sizes", np.int32), ("place", np.int32), ("times", np.int64))
         )
+        place = np.cumsum(place)
         ends = np.concatenate([[0], np.cumsum(sizes.astype(np.int64))])
         sums = [np.diff(np.concatenate([[0], np.cumsum(times * worth[place])])[ends]) for worth in (best, n)]
         docs = left["docs"].combine_chunks().flatten()
@@ -323,10 +329,12 @@ def score_links(chunked: DataFrame) -> DataFrame:
     return packed.drop("codes", "held").groupBy("chunk").cogroup(met.groupBy("chunk")).applyInArrow(summed, out)
 
 
-def planes(values: np.ndarray) -> bytes:
-    return packing.planes(values) if len(values) else b""
+def pressed(values: np.ndarray) -> bytes:
+    """Numbers as byte planes, compressed, after the length of those planes."""
+    raw = packing.planes(values) if len(values) else b""
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
-def from_planes(raw: bytes, kind) -> np.ndarray:
-    return packing.from_planes(raw, kind) if raw else np.zeros(0, kind)
-
+def from_pressed(raw: bytes, kind) -> np.ndarray:
+    size = int.from_bytes(raw[:8], "little")
+    return packing.from_planes(pa.decompress(raw[8:], size, codec="zstd", asbytes=True), kind) if size else np.zeros(0, kind)

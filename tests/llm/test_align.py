@@ -1,7 +1,9 @@
 import random
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 import sentencepiece
 from public_tokenizers import path
@@ -126,3 +128,23 @@ def test_empty_table_and_extra_columns(spark):
     (row,) = score_links(align_chunks(frame, JSON, MODEL)).collect()
     assert (row["doc_id"], row["n_a"], row["groups"]) == (1, 2, "257|264;275|287")
     assert align(frame, JSON, MODEL).drop("groups").collect() == [(1, 2, 2, 2, 2)]
+
+
+def test_chunks_are_short_and_few_share_a_file(spark):
+    docs = [(i, f"storm number {i} " * 20 + "the wind turns, and the sea rises far from land. " * 30) for i in range(100)]
+    chunked = align_chunks(spark.createDataFrame(docs, DOCS).coalesce(1), JSON, MODEL, chunk_pairs=1)
+    work = Path(spark.conf.get("spark.checkpoint.dir")) / "stormlake"
+    before = set(work.glob("link-chunks-*"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    try:
+        assert score_links(chunked).count() == 100
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    (made,) = set(work.glob("link-chunks-*")) - before
+    rows = [pq.ParquetFile(x).metadata.num_rows for x in made.glob("*.parquet")]
+    # a batch of a reader never goes beyond a file
+    assert sum(rows) == 100 and max(rows) <= 32
+    many = spark.createDataFrame([(i, " ".join(f"w{i * j}" for j in range(200))) for i in range(400)], DOCS).coalesce(1)
+    sizes = align_chunks(many, JSON, MODEL).selectExpr("octet_length(place) + octet_length(times) AS n", "aggregate(docs, 0L, (x, d) -> x + d.n_links) AS links")
+    for row in sizes.collect():
+        assert row["n"] < 4 * row["links"]
