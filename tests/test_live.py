@@ -1,6 +1,7 @@
 """Feed and landing zone as two streams: every half comes to exactly one end."""
 
 from datetime import datetime, timedelta
+from pathlib import Path
 
 from bulletin_text import bulletin, name, section
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from stormlake.sources.tables import read_documents
 from stormlake.streaming.live import ingest_announced, read_unmet
 
 NOON = datetime(2024, 8, 28, 12)
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 LANDED = "link string, body string, landed_at timestamp"
 
 
@@ -86,3 +88,28 @@ def test_an_empty_start(spark):
     live = Live(spark)
     live.run([], [])
     assert live.ends() == set()
+
+
+def stored(live):
+    """The kinds of files that the state is kept in."""
+    found = {x.suffix for x in Path(live.offsets, "state").rglob("[0-9]*") if x.is_file()}
+    return found & {".delta", ".zip", ".changelog"}
+
+
+def test_state_lies_on_disk(spark):
+    live = Live(spark)
+    live.run([(0, "a", FEED_TITLE)], [(0.1, "a", report("A"))])
+    assert live.storms() == ["A"] and stored(live) and ".delta" not in stored(live)
+    assert spark.conf.get(PROVIDER, None) is None
+
+
+def test_a_checkpoint_goes_on_with_its_store(spark):
+    live = Live(spark)
+    spark.conf.set(PROVIDER, "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider")
+    try:
+        live.run([(0, "a", FEED_TITLE)], [(0.1, "x", report("X"))])
+    finally:
+        spark.conf.unset(PROVIDER)
+    assert stored(live) == {".delta"}
+    live.run([(0.2, "x", FEED_TITLE)], [(0.2, "a", report("A"))])
+    assert live.storms() == ["A", "X"] and stored(live) == {".delta"}
